@@ -33,13 +33,24 @@ def time_bin_error(lc: DataFrame, binned: DataFrame, cen: Census | None = None)
         "target", (F.col("_e") / F.sqrt(F.greatest(F.col("_c"), F.lit(1.0)))).alias("bin_err"))
 
 
-def with_weights(lc: DataFrame, minutes: float = K.SEARCH_BIN_MINUTES, cen: Census | None = None) -> DataFrame:
-    """Binned curve ready for the search: ``(target, t, flux, w)`` with w = 1/err^2, or 1."""
+def packed_curve(lc: DataFrame, minutes: float = K.SEARCH_BIN_MINUTES, cen: Census | None = None) -> DataFrame:
+    """One row per target for the search: ``(target, tmin, span, c)`` with ``c`` the time-sorted array of
+    ``(t, flux, w)`` bins, w = 1/err^2 or 1.
+
+    The array is bounded by span / bin width. Two passes over the samples: per-target numbers, then bins.
+    """
     cen = census(lc, KEY) if cen is None else cen
-    binned = time_bin(lc, minutes, cen)
-    err = time_bin_error(lc, binned, cen)
-    w = F.when(F.col("bin_err") > 0, F.lit(1.0) / (F.col("bin_err") * F.col("bin_err"))).otherwise(F.lit(1.0))
-    return attach(binned, err, KEY, cen, "left").select("target", "t", "flux", w.alias("w"))
+    span = [F.min("t").alias("tmin"), (F.max("t") - F.min("t")).alias("span")]
+    stats = grouped_quantiles(lc, KEY, {"_e": ("flux_err", 0.5)}, cen, extra=span)
+    x = attach(lc, stats, KEY, cen).withColumn("bin", ((F.col("t") - F.col("tmin")) / (minutes / 1440.0)).cast("bigint"))
+    b = x.groupBy("target", "tmin", "span", "_e", "bin").agg(
+        F.avg("t").alias("t"), F.avg("flux").alias("flux"), F.count(F.lit(1)).alias("n"))
+    p = b.groupBy("target", "tmin", "span", "_e").agg(
+        F.sort_array(F.collect_list(F.struct("t", "flux"))).alias("c"), F.percentile(F.col("n").cast("double"), 0.5).alias("_n"))
+    err = F.col("_e") / F.sqrt(F.greatest(F.col("_n"), F.lit(1.0)))
+    p = p.withColumn("_w", F.when(err > 0, F.lit(1.0) / (err * err)).otherwise(F.lit(1.0)))
+    return p.select("target", "tmin", "span", F.transform(
+        "c", lambda s: F.struct(s["t"].alias("t"), s["flux"].alias("flux"), F.col("_w").alias("w"))).alias("c"))
 
 
 def fold(lc: DataFrame, det: DataFrame, cen: Census | None = None, harmonic: float = 1.0) -> DataFrame:

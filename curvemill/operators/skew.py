@@ -67,11 +67,12 @@ def grouped_quantiles(
     wanted: dict[str, tuple[Column | str, float | Sequence[float]]],
     cen: Census | None = None,
     limit: int = GROUP_ROWS,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per group, one column per entry of ``wanted``.
 
     A single probability gives a double, a list gives an array. NULLs are skipped; a group with no
-    value gives NULL.
+    value gives NULL. ``extra`` holds further (combining) aggregates to take in the same pass.
     """
     keys = list(keys)
     cols = {n: (F.col(c) if isinstance(c, str) else c, p) for n, (c, p) in wanted.items()}
@@ -81,12 +82,15 @@ def grouped_quantiles(
         return part.groupBy(*keys).agg(*[
             F.percentile(c, [float(x) for x in p] if isinstance(p, (list, tuple)) else float(p)).alias(n)
             for n, (c, p) in cols.items()
-        ])
+        ], *extra)
 
     if not cen.heavy:
         return light(df)
     small, big = split_heavy(df, keys, cen)
-    return light(small).unionByName(_heavy_quantiles(big, keys, cols, cen, limit))
+    hot = _heavy_quantiles(big, keys, cols, cen, limit)
+    if extra:
+        hot = hot.join(big.groupBy(*keys).agg(*extra), keys)
+    return light(small).unionByName(hot)
 
 
 def _heavy_quantiles(df, keys, cols, cen, limit) -> DataFrame:
