@@ -67,18 +67,19 @@ def interpolate(lc: DataFrame, column: str = "trend", cen: Census | None = None,
     cen = census(lc, KEY, limit) if cen is None else cen
     x = row_cells(lc, cen, limit)
     point = F.when(F.col(column).isNotNull(), F.struct(F.col("t").alias("t"), F.col(column).alias("v")))
-    order = Window.partitionBy(*CELL).orderBy("t")
-    x = x.withColumn("_p", F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("_n", F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    # both directions as growing frames, which are linear; a shrinking frame would be quadratic
+    sofar = (Window.unboundedPreceding, 0)
+    x = x.withColumn("_p", F.last(point, ignorenulls=True).over(Window.partitionBy(*CELL).orderBy("t").rowsBetween(*sofar)))
+    x = x.withColumn("_n", F.last(point, ignorenulls=True).over(Window.partitionBy(*CELL).orderBy(F.col("t").desc()).rowsBetween(*sofar)))
     have = F.col(column).isNotNull()
     if cen.heavy:
         ends = x.groupBy(*CELL).agg(
             F.max_by(point, F.when(have, F.col("t"))).alias("_l"), F.min_by(point, F.when(have, F.col("t"))).alias("_f"),
             F.count(column).alias("_c"))
-        along = Window.partitionBy("target").orderBy("_cell")
+        before = (Window.unboundedPreceding, -1)
         carry = ends.select(
-            *CELL, F.last("_l", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_lp"),
-            F.first("_f", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_nf"),
+            *CELL, F.last("_l", ignorenulls=True).over(Window.partitionBy("target").orderBy("_cell").rowsBetween(*before)).alias("_lp"),
+            F.last("_f", ignorenulls=True).over(Window.partitionBy("target").orderBy(F.col("_cell").desc()).rowsBetween(*before)).alias("_nf"),
             F.sum("_c").over(Window.partitionBy("target")).alias("_k"))
         x = x.join(carry, CELL).withColumn("_p", F.coalesce("_p", "_lp")).withColumn("_n", F.coalesce("_n", "_nf")).drop("_lp", "_nf")
     else:

@@ -1,95 +1,150 @@
 """Sliding trends in a window centred in time.
 
 Rows are dealt to time cells a few windows wide, with a half-window margin copied from the neighbours,
-so the window partitions by (target, cell): a long or dense curve spreads over many tasks, and what one
-task holds is bounded by cadence x cell width. The estimate itself is array work inside the JVM.
+and shuffled by (target, cell), so a long or dense curve spreads over many tasks. Inside a task Spark's
+sorted rows stream through NumPy in Arrow batches; what a task holds is one batch and one window, never a
+whole cell or curve. Sliding medians of a few hundred samples per row are an order of magnitude slower as
+array functions in the JVM, which is why this step leaves it.
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curvemill import constants as K
 from curvemill.functions import columns as C
 from curvemill.operators import clean
 from curvemill.operators.cells import interpolate
-from curvemill.operators.skew import Census, census
+from curvemill.operators.skew import Census, census, task_count
 
 KEY = ["target"]
 METHODS = ("biweight", "lowess", "median")
+# values of one window matrix held at a time
+BLOCK = 2_000_000
 
 
-def _windowed(lc: DataFrame, window_days: float, collect: str, cell_windows: float) -> DataFrame:
-    """Add ``_w``: sorted array of ``collect`` over the centred window; margins are dropped again."""
-    half, width = window_days / 2.0, window_days * cell_windows
-    own = F.floor(F.col("t") / width)
-    margin = half * (1.0 + 1e-9)
-    dealt = lc.withColumn("_own", own).withColumn("_cell", F.explode(F.sequence(
-        F.floor((F.col("t") - margin) / width), F.floor((F.col("t") + margin) / width))))
-    frame = f"PARTITION BY target, _cell ORDER BY t RANGE BETWEEN {half!r}D PRECEDING AND {half!r}D FOLLOWING"
-    return (dealt.selectExpr("*", f"sort_array(collect_list({collect}) OVER ({frame})) AS _w")
-            .where("_cell = _own").drop("_own", "_cell"))
-
-
-def _middle(a: Column) -> Column:
-    """Median of a sorted array; NULL when empty."""
-    n = F.size(a)
-    lo = F.try_element_at(a, F.floor((n + 1) / 2).cast("int"))
-    hi = F.try_element_at(a, F.floor(n / 2).cast("int") + 1)
-    return F.when(n > 0, (lo + hi) / 2.0)
-
+# -- estimates over a matrix of windows: one row per window, NaN where there is no sample ---------------------
 
-def _total(a: str, f) -> Column:
-    return F.aggregate(F.col(a), F.lit(0.0), lambda acc, x: acc + f(x))
+def _row_median(sorted_rows, n):
+    """Median of each row of a matrix sorted along its rows with the missing values last."""
+    rows = np.arange(len(n))
+    lo, hi = np.maximum((n - 1) // 2, 0), np.maximum(np.minimum(n // 2, sorted_rows.shape[1] - 1), 0)
+    return np.where(n > 0, (sorted_rows[rows, lo] + sorted_rows[rows, hi]) / 2.0, np.nan)
 
 
-def _median(lc, window_days, cell_windows) -> DataFrame:
-    return _windowed(lc, window_days, "_x", cell_windows).withColumn("_trend", _middle(F.col("_w")))
+def median_rows(x, d, half):
+    return _row_median(np.sort(x, axis=1), np.isfinite(x).sum(axis=1))
 
 
-def _biweight(lc, window_days, cell_windows, c: float = 5.0) -> DataFrame:
-    """One Tukey step from the median with the window's own MAD."""
-    x = _windowed(lc, window_days, "_x", cell_windows).withColumn("_m", _middle(F.col("_w")))
-    x = x.withColumn("_d", F.sort_array(F.transform("_w", lambda v: F.abs(v - F.col("_m")))))
-    x = x.withColumn("_s", _middle(F.col("_d")) * c)
-    # weights of samples beyond c MADs are 0, so only the near ones enter the sums
-    near = F.filter("_w", lambda v: F.abs(v - F.col("_m")) < F.col("_s"))
-    x = x.withColumn("_w", F.when(F.col("_s") > 0, near))
+def biweight_rows(x, d, half, c: float = 5.0):
+    """One Tukey step from the median with the window's own median absolute deviation."""
+    n = np.isfinite(x).sum(axis=1)
+    m = _row_median(np.sort(x, axis=1), n)
+    dev = x - m[:, None]
+    s = c * _row_median(np.sort(np.abs(dev), axis=1), n)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        u = dev / s[:, None]
+        w = np.where(np.abs(u) < 1.0, (1.0 - u * u) ** 2, 0.0)
+        step = np.nansum(w * np.nan_to_num(dev), axis=1) / w.sum(axis=1)
+    return np.where(s > 0, m + step, m)
 
-    def weight(v):
-        u = (v - F.col("_m")) / F.col("_s")
-        return (1.0 - u * u) * (1.0 - u * u)
 
-    x = x.withColumn("_sw", _total("_w", weight)).withColumn(
-        "_swx", _total("_w", lambda v: weight(v) * (v - F.col("_m"))))
-    est = F.col("_m") + F.coalesce(F.try_divide(F.col("_swx"), F.col("_sw")), F.lit(0.0))
-    return x.withColumn("_trend", est).drop("_m", "_d", "_s", "_sw", "_swx")
-
-
-def _lowess(lc, window_days, cell_windows) -> DataFrame:
+def lowess_rows(x, d, half):
     """Tricube-weighted straight line, read off at the window centre."""
-    half = window_days / 2.0
-    x = _windowed(lc, window_days, "CASE WHEN _x IS NOT NULL THEN struct(t, _x AS x) END", cell_windows)
+    ok = np.isfinite(x)
+    u = np.where(ok, np.abs(d) / half, 1.0)
+    w = np.clip(1.0 - u ** 3, 0.0, None) ** 3
+    y, d = np.where(ok, x, 0.0), np.where(ok, d, 0.0)
+    s0, s1, s2 = w.sum(axis=1), (w * d).sum(axis=1), (w * d * d).sum(axis=1)
+    y0, y1 = (w * y).sum(axis=1), (w * d * y).sum(axis=1)
+    det = s0 * s2 - s1 * s1
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(det > 1e-12, (s2 * y0 - s1 * y1) / det, y0 / s0)
+
+
+ESTIMATES = {"median": median_rows, "biweight": biweight_rows, "lowess": lowess_rows}
+
+
+def trend_of(t, x, first, last, half, estimate):
+    """Trend at positions ``first..last`` of one time-sorted run of samples."""
+    at = t[first:last]
+    lo, hi = np.searchsorted(t, at - half, "left"), np.searchsorted(t, at + half, "right")
+    out = np.empty(len(at))
+    i = 0
+    while i < len(at):
+        # as many windows as fit into one block
+        width = int((hi[i:] - lo[i:]).max())
+        k = max(1, BLOCK // max(width, 1))
+        a, b = lo[i:i + k], hi[i:i + k]
+        width = int((b - a).max())
+        pos = a[:, None] + np.arange(width)
+        inside = pos < b[:, None]
+        pos = np.minimum(pos, len(t) - 1)
+        out[i:i + k] = estimate(np.where(inside, x[pos], np.nan), t[pos] - at[i:i + k, None], half)
+        i += k
+    return out
+
+
+def stream_trend(batches, half, estimate):
+    """Add ``_trend`` to batches sorted by (target, _cell, t). A row waits until its window is complete; rows
+    are let go once no waiting window reaches back to them."""
+    held, waiting = None, 0
+
+    def runs(pdf):
+        a, b = pdf["target"].to_numpy(), pdf["_cell"].to_numpy()
+        cut = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+        return np.concatenate(([0], cut, [len(pdf)]))
+
+    def done(pdf, upto, start):
+        """Rows ``start..upto`` with their trend, runs taken one at a time."""
+        edges = runs(pdf)
+        t, x, out = pdf["t"].to_numpy(), pdf["_x"].to_numpy(dtype=float), np.full(len(pdf), np.nan)
+        for s, e in zip(edges[:-1], edges[1:]):
+            f, z = max(s, start), min(e, upto)
+            if f < z:
+                out[f:z] = trend_of(t[s:e], x[s:e], f - s, z - s, half, estimate)
+        return pdf.iloc[start:upto].assign(_trend=out[start:upto])
+
+    for pdf in batches:
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        s = runs(held)[-2]
+        t = held["t"].to_numpy()
+        ready = s + int(np.searchsorted(t[s:], t[-1] - half, "left"))
+        ready = max(ready, waiting)
+        if ready > waiting:
+            yield done(held, ready, waiting)
+        keep = s + int(np.searchsorted(t[s:], (t[ready] if ready < len(t) else t[-1]) - half, "left"))
+        keep = min(keep, ready)
+        held, waiting = held.iloc[keep:].reset_index(drop=True), ready - keep
+    if held is not None and len(held) > waiting:
+        yield done(held, len(held), waiting)
+
+
+def _sliding(lc: DataFrame, method: str, window_days: float, cell_windows: float, cen: Census) -> DataFrame:
+    """Add ``_trend``, the estimate over ``_x`` in the window around every sample."""
+    half, width, estimate = window_days / 2.0, window_days * cell_windows, ESTIMATES[method]
+    margin = half * (1.0 + 1e-9)
+    dealt = lc.withColumn("_own", F.floor(F.col("t") / width)).withColumn("_cell", F.explode(F.sequence(
+        F.floor((F.col("t") - margin) / width), F.floor((F.col("t") + margin) / width))))
+    dealt = dealt.repartition(task_count(lc.sparkSession, cen.n_rows), "target", "_cell").sortWithinPartitions("target", "_cell", "t")
 
-    def near(p):
-        u = F.abs(p["t"] - F.col("t")) / half
-        v = F.greatest(1.0 - u * u * u, F.lit(0.0))
-        return F.struct((v * v * v).alias("w"), (p["t"] - F.col("t")).alias("d"), p["x"].alias("x"))
+    def run(batches):
+        for pdf in stream_trend(batches, half, estimate):
+            yield pdf[pdf["_own"] == pdf["_cell"]]
 
-    x = x.withColumn("_w", F.transform("_w", near))
-    x = (x.withColumn("_s0", _total("_w", lambda p: p["w"])).withColumn("_s1", _total("_w", lambda p: p["w"] * p["d"]))
-         .withColumn("_s2", _total("_w", lambda p: p["w"] * p["d"] * p["d"]))
-         .withColumn("_y0", _total("_w", lambda p: p["w"] * p["x"]))
-         .withColumn("_y1", _total("_w", lambda p: p["w"] * p["d"] * p["x"])))
-    det = F.col("_s0") * F.col("_s2") - F.col("_s1") * F.col("_s1")
-    line = (F.col("_s2") * F.col("_y0") - F.col("_s1") * F.col("_y1")) / F.when(det > 1e-12, det)
-    return x.withColumn("_trend", F.coalesce(line, F.try_divide(F.col("_y0"), F.col("_s0")))).drop(
-        "_s0", "_s1", "_s2", "_y0", "_y1")
+    schema = T.StructType([*dealt.schema.fields, T.StructField("_trend", T.DoubleType())])
+    return dealt.mapInPandas(run, schema).drop("_own", "_cell")
 
 
 def detrend(lc: DataFrame, method: str = "biweight", window_days: float = K.DETREND_WINDOW_DAYS,
-            mask: Column | None = None, cen: Census | None = None, cell_windows: float = 4.0) -> DataFrame:
+            mask: Column | None = None, cen: Census | None = None) -> DataFrame:
     """Divide the flux by its sliding trend; adds ``trend``.
 
     Masked samples do not shape the trend: it is NULL there, bridged in time, and the original flux
@@ -98,9 +153,9 @@ def detrend(lc: DataFrame, method: str = "biweight", window_days: float = K.DETR
     cen = census(lc, KEY) if cen is None else cen
     x = C.finite_or_null("flux")
     work = lc.withColumn("_x", F.when(~F.coalesce(mask, F.lit(False)), x) if mask is not None else x)
-    run = {"median": _median, "biweight": _biweight, "lowess": _lowess}[method]
-    out = run(work, window_days, cell_windows)
-    out = out.withColumn("trend", F.when(F.col("_x").isNotNull(), F.col("_trend"))).drop("_w", "_trend", "_x")
+    # narrower cells cut a dense curve into more tasks, at the price of a larger copied margin
+    out = _sliding(work, method, window_days, 1.0 if cen.heavy else 4.0, cen)
+    out = out.withColumn("trend", F.when(F.col("_x").isNotNull(), F.col("_trend"))).drop("_trend", "_x")
     out = interpolate(out, "trend", cen)
     return out.withColumn("flux", F.try_divide(F.col("flux"), F.col("trend")))
 
@@ -111,3 +166,6 @@ def prepare(lc: DataFrame, method: str = "biweight", window_days: float = K.DETR
     cen = census(lc, KEY) if cen is None else cen
     x = clean.clip_outliers(clean.normalize(clean.finite_filter(lc), cen), cen=cen)
     return detrend(x, method, window_days, cen=cen).where(C.is_finite("flux"))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

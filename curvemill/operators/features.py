@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from curvemill import constants as K
 from curvemill.functions import columns as C
 from curvemill.operators.binning import trend_amplitude
-from curvemill.operators.skew import Census, attach, census, grouped_quantiles
+from curvemill.operators.skew import Census, attach, census, grouped_quantiles, spread
 
 KEY = ["target"]
 DEPTH_FLOOR = 1e-7
@@ -169,7 +169,7 @@ def lomb_scargle(lc: DataFrame, n_freq: int = K.LS_FREQ_COUNT, cen: Census | Non
     cen = census(lc, KEY) if cen is None else cen
     mid = lc.groupBy("target").agg(F.avg("flux").alias("_y"), F.var_pop("flux").alias("yy"))
     step = (K.LS_FREQ_MAX - K.LS_FREQ_MIN) / (n_freq - 1)
-    x = attach(lc.select("target", "t", "flux"), mid, KEY, cen).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_freq - 1))))
+    x = spread(attach(lc.select("target", "t", "flux"), mid, KEY, cen), cen).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_freq - 1))))
     x = x.withColumn("f", F.col("k") * step + K.LS_FREQ_MIN)
     x = x.withColumn("_a", F.col("f") * F.col("t") * (2.0 * math.pi)).withColumn("y", F.col("flux") - F.col("_y"))
     x = x.withColumn("c", F.cos("_a")).withColumn("s", F.sin("_a"))

@@ -14,7 +14,7 @@ from curvemill import constants as K
 from curvemill.functions import columns as C
 from curvemill.operators import clean
 from curvemill.operators.cells import cadence, time_rank
-from curvemill.operators.skew import Census, attach, census, grouped_quantiles
+from curvemill.operators.skew import Census, attach, census, grouped_quantiles, spread
 
 KEY = ["target"]
 # trial T14 in units of the detected duration, and T23 in units of T14
@@ -39,7 +39,7 @@ def trapezoid_fit(lc: DataFrame, det: DataFrame, minimum: int = 20, cen: Census
     outer = F.when(F.abs("_dt") > F.col("duration"), F.col("flux"))
     base = grouped_quantiles(x, KEY, {"_b0": (outer, 0.5)}, cen, extra=[F.count(F.lit(1)).alias("_near")])
     base = base.where(F.col("_near") > minimum).select("target", F.coalesce("_b0", F.lit(1.0)).alias("_b0"))
-    y = attach(x, base, KEY, cen).withColumn("_g", F.col("flux") - F.col("_b0"))
+    y = spread(attach(x, base, KEY, cen), cen).withColumn("_g", F.col("flux") - F.col("_b0"))
     m = len(T23_RATIOS)
     y = y.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(T14_FACTORS) * m - 1))))
     t14 = F.col("duration") * _pick(T14_FACTORS, F.floor(F.col("j") / m))
@@ -78,7 +78,7 @@ AXES = {"t": 9, "p": 9, "w": 5, "r": 3}
 
 def _round(x: DataFrame, centre: DataFrame, cen: Census) -> DataFrame:
     """chi-square of every grid point around ``centre`` (centres ``c_*`` and half-widths ``h_*`` per axis)."""
-    y = attach(x, centre, KEY, cen)
+    y = spread(attach(x, centre, KEY, cen), cen)
     total = 1
     for n in AXES.values():
         total *= n

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from curvemill.session import materialize
 
 # rows of one group that a single task may hold
-GROUP_ROWS = 5_000_000
+GROUP_ROWS = 1_000_000
 # rows of a per-group table that may be broadcast
 BROADCAST_ROWS = 200_000
 
@@ -48,6 +48,16 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], cen: Census, ho
     return df.join(stats, list(keys), how)
 
 
+def task_count(spark, n_rows: int, per_task: int = 1_000_000) -> int:
+    """Tasks for a step whose cost per row is high: at least a few per core, more for more rows."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-n_rows // per_task))
+
+
+def spread(df: DataFrame, cen: Census, per_task: int = 200_000) -> DataFrame:
+    """Even out rows before each of them is multiplied by a grid; round robin, so no key can be hot."""
+    return df.repartition(task_count(df.sparkSession, cen.n_rows, per_task))
+
+
 def split_heavy(df: DataFrame, keys: Sequence[str], cen: Census) -> tuple[DataFrame, DataFrame]:
     """(light rows, heavy rows)."""
     schema = df.select(*keys).schema
