@@ -22,7 +22,7 @@ def row_cells(lc: DataFrame, cen: Census, limit: int = GROUP_ROWS) -> DataFrame:
     if not cen.heavy:
         return lc.withColumn("_cell", F.lit(0))
     small, big = split_heavy(lc, KEY, cen)
-    # the running id only lets identical samples be cut apart; the checkpoint fixes it
+    # the running id only lets identical samples be cut apart; materialising fixes it
     frozen = range_frozen(big.withColumn("_uid", F.monotonically_increasing_id()), ["target", "t", "_uid"],
                           cen.n_rows, limit)
     return small.withColumn("_cell", F.lit(0)).unionByName(

@@ -144,11 +144,12 @@ def _sliding(lc: DataFrame, method: str, window_days: float, cell_windows: float
 
 
 def detrend(lc: DataFrame, method: str = "biweight", window_days: float = K.DETREND_WINDOW_DAYS,
-            mask: Column | None = None, cen: Census | None = None) -> DataFrame:
+            mask: Column | None = None, cen: Census | None = None, bridge: bool = True) -> DataFrame:
     """Divide the flux by its sliding trend; adds ``trend``.
 
     Masked samples do not shape the trend: it is NULL there, bridged in time, and the original flux
-    divided by the bridge. The error is left alone.
+    divided by the bridge. The error is left alone. Without a mask and with finite flux nothing can be
+    missing, and ``bridge=False`` saves the pass.
     """
     cen = census(lc, KEY) if cen is None else cen
     x = C.finite_or_null("flux")
@@ -156,7 +157,8 @@ def detrend(lc: DataFrame, method: str = "biweight", window_days: float = K.DETR
     # narrower cells cut a dense curve into more tasks, at the price of a larger copied margin
     out = _sliding(work, method, window_days, 1.0 if cen.heavy else 4.0, cen)
     out = out.withColumn("trend", F.when(F.col("_x").isNotNull(), F.col("_trend"))).drop("_trend", "_x")
-    out = interpolate(out, "trend", cen)
+    if bridge:
+        out = interpolate(out, "trend", cen)
     return out.withColumn("flux", F.try_divide(F.col("flux"), F.col("trend")))
 
 
@@ -165,7 +167,7 @@ def prepare(lc: DataFrame, method: str = "biweight", window_days: float = K.DETR
     """Finite -> normalise -> clip -> detrend; keeps finite results. Adds ``trend``."""
     cen = census(lc, KEY) if cen is None else cen
     x = clean.clip_outliers(clean.normalize(clean.finite_filter(lc), cen), cen=cen)
-    return detrend(x, method, window_days, cen=cen).where(C.is_finite("flux"))
+    return detrend(x, method, window_days, cen=cen, bridge=False).where(C.is_finite("flux"))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

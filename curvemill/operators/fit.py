@@ -15,6 +15,7 @@ from curvemill.functions import columns as C
 from curvemill.operators import clean
 from curvemill.operators.cells import cadence, time_rank
 from curvemill.operators.skew import Census, attach, census, grouped_quantiles, spread
+from curvemill.session import materialize
 
 KEY = ["target"]
 # trial T14 in units of the detected duration, and T23 in units of T14
@@ -88,9 +89,10 @@ def _round(x: DataFrame, centre: DataFrame, cen: Census) -> DataFrame:
         k = rest % n
         rest = F.floor(rest / n)
         vals[name] = F.col(f"c_{name}") + F.col(f"h_{name}") * (k / ((n - 1) / 2.0) - 1.0)
+    vals["r"] = C.clamp(vals["r"], 0, 1)
     y = y.withColumns({f"v_{n}": v for n, v in vals.items()})
     width = F.greatest(F.col("v_w"), F.lit(1e-6))
-    shape = C.trapezoid_shape(C.from_mid_event("t", "v_t", "v_p"), width, width * C.clamp("v_r", 0, 1))
+    shape = C.trapezoid_shape(C.from_mid_event("t", "v_t", "v_p"), width, width * F.col("v_r"))
     y = y.withColumn("_s", shape).withColumn("_m", 1.0 - F.col("flux"))
     keep = ["target", "j", *[f"v_{n}" for n in AXES], *[f"h_{n}" for n in AXES]]
     g = y.groupBy(*keep).agg(
@@ -107,11 +109,27 @@ def _best(g: DataFrame) -> DataFrame:
     return b.select("target", "_b.*")
 
 
+def _posterior(grid: DataFrame, best: DataFrame, cen: Census) -> DataFrame:
+    """Spread ``e_*`` of every axis and of the depth, weighted by exp(-dchi2 / 2); the depth adds its own variance."""
+    ref = best.select("target", F.col("chi2").alias("_min"), *[F.col(f"v_{n}").alias(f"b_{n}") for n in AXES], F.col("depth").alias("b_d"))
+    post = attach(grid, ref, KEY, cen).withColumn("_p", F.exp((F.col("_min") - F.col("chi2")) * 0.5))
+
+    def spread(value: Column, centre: Column, own: Column = F.lit(0.0)) -> Column:
+        dv = value - centre
+        mean = F.sum(F.col("_p") * dv) / F.sum("_p")
+        return F.sqrt(F.greatest(F.sum(F.col("_p") * (dv * dv + own)) / F.sum("_p") - mean * mean, F.lit(0.0)))
+
+    own = F.coalesce(1.0 / F.when(F.col("b") > 0, F.col("b")), F.lit(0.0))
+    return post.groupBy("target").agg(*[spread(F.col(f"v_{n}"), F.col(f"b_{n}")).alias(f"e_{n}") for n in AXES],
+                                      spread(F.col("depth"), F.col("b_d"), own).alias("e_d"))
+
+
 def dip_fit(lc: DataFrame, det: DataFrame, cen: Census | None = None) -> DataFrame:
     """Period, mid-time, depth and duration with errors, on samples near events.
 
-    A coarse grid over t0 +- duration, period +- 2 %, T14 and T23, then a finer one around its best point;
-    means and spreads come from exp(-dchi2 / 2) over the fine grid, the depth's own variance added.
+    Three grids: t0 +- duration, period +- 2 %, T14 and T23; then one step around its best point; then
+    three spreads and a step around the best of that, so a sharp minimum is resolved and a broad one is not
+    cut short. Errors are the spreads over the last grid.
     """
     cen = census(lc, KEY) if cen is None else cen
     fallback = lc.groupBy("target").agg(F.stddev_pop("flux").alias("_sd"))
@@ -122,36 +140,22 @@ def dip_fit(lc: DataFrame, det: DataFrame, cen: Census | None = None) -> DataFra
     start = det.select(
         "target", F.col("t0").alias("c_t"), F.col("period").alias("c_p"), (F.col("duration") * 1.2).alias("c_w"), F.lit(0.5).alias("c_r"),
         F.col("duration").alias("h_t"), (F.col("period") * 0.02).alias("h_p"), (F.col("duration") * 0.8).alias("h_w"), F.lit(0.5).alias("h_r"))
-    coarse = _best(_round(x, start, cen))
-    # the fine grid spans one coarse step on either side
-    fine_at = coarse.select("target", *[F.col(f"v_{n}").alias(f"c_{n}") for n in AXES],
-                            *[(F.col(f"h_{n}") / ((k - 1) / 2.0)).alias(f"h_{n}") for n, k in AXES.items()])
-    fine = _round(x, fine_at, cen)
+    centre = [F.col(f"v_{n}").alias(f"c_{n}") for n in AXES]
+    step = {n: F.col(f"h_{n}") / ((k - 1) / 2.0) for n, k in AXES.items()}
+    # each round's best points are one row per target; cut there, the next round does not redo the last
+    coarse = materialize(_best(_round(x, start, cen)))
+    fine = materialize(_round(x, coarse.select("target", *centre, *[step[n].alias(f"h_{n}") for n in AXES]), cen))
     best = _best(fine)
-    w = F.exp((F.col("_min") - F.col("chi2")) * 0.5)
-    post = attach(fine, best.select("target", F.col("chi2").alias("_min"), *[F.col(f"v_{n}").alias(f"b_{n}") for n in AXES],
-                                    F.col("depth").alias("b_d")), KEY, cen).withColumn("_p", w)
-
-    def spread(value: Column, ref: Column, own: Column = F.lit(0.0)) -> Column:
-        dv = value - ref
-        mean = F.sum(F.col("_p") * dv) / F.sum("_p")
-        return F.sqrt(F.greatest(F.sum(F.col("_p") * (dv * dv + own)) / F.sum("_p") - mean * mean, F.lit(0.0)))
-
-    def centre(value: Column, ref: Column) -> Column:
-        return F.first(ref) + F.sum(F.col("_p") * (value - ref)) / F.sum("_p")
-
-    own = F.coalesce(1.0 / F.when(F.col("b") > 0, F.col("b")), F.lit(0.0))
-    errs = post.groupBy("target").agg(
-        *[spread(F.col(f"v_{n}"), F.col(f"b_{n}")).alias(f"e_{n}") for n in ("t", "p", "w")],
-        spread(F.col("depth"), F.col("b_d"), own).alias("e_d"),
-        centre(F.col("depth"), F.col("b_d")).alias("depth_mean"), centre(F.col("v_p"), F.col("b_p")).alias("period_mean"))
-    out = attach(best, errs, KEY, cen)
+    near = attach(best, _posterior(fine, best, cen), KEY, cen)
+    last = materialize(_round(x, near.select("target", *centre, *[
+        F.least(F.col(f"h_{n}"), F.col(f"e_{n}") * 3.0 + step[n]).alias(f"h_{n}") for n in AXES]), cen))
+    best = _best(last)
+    out = attach(best, _posterior(last, best, cen), KEY, cen)
     chi2_red = F.col("chi2") / F.greatest(F.col("n") - N_PARAMS, F.lit(1))
     return out.select(
         "target", F.col("v_p").alias("period"), F.col("e_p").alias("period_err"), F.col("v_t").alias("t0"), F.col("e_t").alias("t0_err"),
         "depth", F.col("e_d").alias("depth_err"), F.col("v_w").alias("duration"), F.col("e_w").alias("duration_err"),
-        (F.col("v_w") * C.clamp("v_r", 0, 1)).alias("t23"), "depth_mean", "period_mean", chi2_red.alias("chi2_red"), "n",
-        C.is_finite(chi2_red).alias("converged"))
+        (F.col("v_w") * F.col("v_r")).alias("t23"), chi2_red.alias("chi2_red"), "n", C.is_finite(chi2_red).alias("converged"))
 
 
 def residuals(lc: DataFrame, fit: DataFrame, cen: Census) -> DataFrame:

@@ -4,7 +4,7 @@ Sums, counts and moments combine before the shuffle, so a hot group costs nothin
 statistics and ranks do not combine; for them a census counts every group first. Groups up to
 ``limit`` rows use Spark's own ``percentile`` / ``row_number``. Groups beyond it are range-partitioned
 on (group, value): the range partitioner cuts a hot group into many tasks, the partition number is
-frozen by a checkpoint, and exact ranks follow from per-partition counts.
+frozen by writing it to the shared folder, and exact ranks follow from per-partition counts.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def split_heavy(df: DataFrame, keys: Sequence[str], cen: Census) -> tuple[DataFr
 
 
 def range_frozen(df: DataFrame, order: Sequence[str], n_rows: int, limit: int) -> DataFrame:
-    """Totally ordered partitions with their number in ``_pid``, fixed by a checkpoint."""
+    """Totally ordered partitions with their number in ``_pid``, fixed by materialising it."""
     parts = max(2, -(-n_rows // limit) * 2)
     return materialize(df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()))
 

@@ -219,6 +219,11 @@ def red_noise_beta(spark, sf):
 
 
 def dip_sql() -> str:
+    def post(src: str, out: str) -> str:
+        axes = ", ".join(f"sqrt(greatest(0, sum(p * pow(v_{n} - z_{n}, 2)) / sum(p) - pow(sum(p * (v_{n} - z_{n})) / sum(p), 2))) AS e_{n}" for n in "tpwr")
+        return f"""{out}_w AS (SELECT g.*, exp((z.chi2 - g.chi2) / 2) AS p, z.depth AS zd, z.v_t AS z_t, z.v_p AS z_p, z.v_w AS z_w, z.v_r AS z_r FROM {src} g JOIN {src}_best z USING (target)),
+{out} AS (SELECT target, {axes}, sqrt(greatest(0, sum(p * (pow(depth - zd, 2) + CASE WHEN b > 0 THEN 1 / b ELSE 0 END)) / sum(p) - pow(sum(p * (depth - zd)) / sum(p), 2))) AS e_d FROM {out}_w GROUP BY target)"""
+
     def grid(src: str, out: str) -> str:
         return f"""{out}_g AS (SELECT target, j, c_t + h_t * ((j % 9) / 4.0E0 - 1) AS v_t, c_p + h_p * ((j // 9 % 9) / 4.0E0 - 1) AS v_p, c_w + h_w * ((j // 81 % 5) / 2.0E0 - 1) AS v_w,
   greatest(0, least(1, c_r + h_r * ((j // 405 % 3) / 1.0E0 - 1))) AS v_r, h_t, h_p, h_w, h_r FROM {src}, range(1215) q(j)),
@@ -235,14 +240,16 @@ start AS (SELECT target, t0 AS c_t, period AS c_p, duration * 1.2E0 AS c_w, 5.0E
 {grid('start', 'g1')},
 mid AS (SELECT target, v_t AS c_t, v_p AS c_p, v_w AS c_w, v_r AS c_r, h_t / 4 AS h_t, h_p / 4 AS h_p, h_w / 2 AS h_w, h_r / 1 AS h_r FROM g1_best),
 {grid('mid', 'g2')},
-pw AS (SELECT g.*, exp((z.chi2 - g.chi2) / 2) AS p, z.depth AS zd, z.v_p AS zp FROM g2 g JOIN g2_best z USING (target)),
-ps AS (SELECT target, sqrt(greatest(0, sum(p * (pow(v_p - zp, 2))) / sum(p) - pow(sum(p * (v_p - zp)) / sum(p), 2))) AS period_err,
-  sqrt(greatest(0, sum(p * (pow(depth - zd, 2) + CASE WHEN b > 0 THEN 1 / b ELSE 0 END)) / sum(p) - pow(sum(p * (depth - zd)) / sum(p), 2))) AS depth_err FROM pw GROUP BY target)"""
+{post('g2', 'p2')},
+mid2 AS (SELECT target, v_t AS c_t, v_p AS c_p, v_w AS c_w, v_r AS c_r, least(h_t, 3 * e_t + h_t / 4) AS h_t, least(h_p, 3 * e_p + h_p / 4) AS h_p, least(h_w, 3 * e_w + h_w / 2) AS h_w, least(h_r, 3 * e_r + h_r / 1) AS h_r
+  FROM g2_best JOIN p2 USING (target)),
+{grid('mid2', 'g3')},
+{post('g3', 'p3')}"""
 
 
 @query("dip_grid_fit", ctes("lc_type", "det_type", more=f"{NORM}, {DETF}, {dip_sql()}") + """
-SELECT target, round(v_p, 6) AS period, round(period_err, 6) AS period_err, round(v_t, 6) AS t0, round(z.depth, 6) AS depth, round(depth_err, 6) AS depth_err,
-  round(v_w, 6) AS duration, round(v_w * v_r, 6) AS t23, round(chi2 / greatest(n - 5, 1), 6) AS chi2_red, n FROM g2_best z JOIN ps USING (target)""")
+SELECT target, round(v_p, 6) AS period, round(e_p, 6) AS period_err, round(v_t, 6) AS t0, round(z.depth, 6) AS depth, round(e_d, 6) AS depth_err,
+  round(v_w, 6) AS duration, round(v_w * v_r, 6) AS t23, round(chi2 / greatest(n - 5, 1), 6) AS chi2_red, n FROM g3_best z JOIN p3 USING (target)""")
 def dip_grid_fit(spark, sf):
     lc, det, cen = norm_det(spark, sf)
     f = fit.dip_fit(lc, det, cen)
