@@ -90,12 +90,12 @@ def work_items(lc: DataFrame, cen: Census, chunk: int | None, minutes: float, du
     curve. Chunks are cut only as fine as it takes to occupy all cores, to copy curves as little as possible.
     """
     cores = lc.sparkSession.sparkContext.defaultParallelism
-    per_target = max(1, -(-4 * cores // max(cen.n_groups, 1)))
+    per_target = max(1, -(-2 * cores // max(cen.n_groups, 1)))
     g = with_grid(search_range(binning.packed_curve(lc, minutes, cen), min_period, max_period), durations, factor, n_periods)
     step = F.lit(chunk).cast("bigint") if chunk else F.ceil(F.col("n") / per_target)
     g = g.withColumn("step", step).withColumn(
         "i0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.col("step"))))
-    tasks = max(4 * cores, -(-cen.n_groups * per_target // 256))
+    tasks = max(2 * cores, -(-cen.n_groups * per_target // 256))
     return g.repartition(tasks, "target", "i0")
 
 

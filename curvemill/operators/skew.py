@@ -23,6 +23,10 @@ GROUP_ROWS = 1_000_000
 BROADCAST_ROWS = 200_000
 
 
+# stands for "treat every group as heavy": there are too many heavy ones to name
+EVERY = [("*",)]
+
+
 class Census(NamedTuple):
     n_groups: int
     n_rows: int
@@ -30,13 +34,19 @@ class Census(NamedTuple):
 
 
 def census(df: DataFrame, keys: Sequence[str], limit: int = GROUP_ROWS) -> Census:
-    """Count rows per group. The heavy list has at most n_rows / limit entries."""
+    """Count rows per group and name the groups beyond ``limit`` rows.
+
+    At most BROADCAST_ROWS names come to the driver; with more heavy groups than that all rows take the
+    range-partitioned path, which is right for groups of any size.
+    """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     top = sizes.agg(
-        F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows"), F.max("_n").alias("largest")
+        F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows"), F.count_if(F.col("_n") > limit).alias("heavy")
     ).first()
     heavy = []
-    if (top["largest"] or 0) > limit:
+    if top["heavy"] > BROADCAST_ROWS:
+        heavy = EVERY
+    elif top["heavy"]:
         heavy = [tuple(r) for r in sizes.where(F.col("_n") > limit).select(*keys).collect()]
     return Census(top["groups"], top["rows"] or 0, heavy)
 
@@ -49,8 +59,8 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], cen: Census, ho
 
 
 def task_count(spark, n_rows: int, per_task: int = 1_000_000) -> int:
-    """Tasks for a step whose cost per row is high: at least a few per core, more for more rows."""
-    return max(4 * spark.sparkContext.defaultParallelism, -(-n_rows // per_task))
+    """Tasks for a step whose cost per row is high: at least two per core, more for more rows."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-n_rows // per_task))
 
 
 def spread(df: DataFrame, cen: Census, per_task: int = 200_000) -> DataFrame:
@@ -60,6 +70,8 @@ def spread(df: DataFrame, cen: Census, per_task: int = 200_000) -> DataFrame:
 
 def split_heavy(df: DataFrame, keys: Sequence[str], cen: Census) -> tuple[DataFrame, DataFrame]:
     """(light rows, heavy rows)."""
+    if cen.heavy is EVERY:
+        return df.where(F.lit(False)), df
     schema = df.select(*keys).schema
     names = F.broadcast(df.sparkSession.createDataFrame(cen.heavy, schema))
     return df.join(names, list(keys), "left_anti"), df.join(names, list(keys), "left_semi")

@@ -55,7 +55,8 @@ def calibrate_probs(spark, sf):
 @query("feature_drivers")
 def feature_drivers(spark, sf):
     f = features23(spark, sf)
-    return cl.drivers(cl.train(f, NAMES, **SMALL), f, "vec_id", NAMES)
+    d = cl.drivers(cl.train(f, NAMES, **SMALL), f, "vec_id", NAMES)
+    return d.select("vec_id", F.posexplode("drivers").alias("place", "d")).select("vec_id", "place", "d.name", C.rd("d.value").alias("value"))
 
 
 @query("feature_importance")

@@ -72,3 +72,11 @@ def test_first_per_key(hot):
     _, df, _ = hot
     got = skew.first_per_key(df, ["target"], [F.col("t")]).toPandas()
     assert len(got) == 3 and set(got["t"]) == {0.0}
+
+
+def test_every_group_heavy(hot):
+    """With too many heavy groups to name, all rows take the range-partitioned path."""
+    pdf, df, cen = hot
+    got = skew.grouped_quantiles(df, ["target"], {"m": ("flux", 0.5)}, cen._replace(heavy=skew.EVERY), LIMIT).toPandas().set_index("target")["m"]
+    for name, g in pdf.groupby("target"):
+        assert got[name] == pytest.approx(g["flux"].median(), abs=1e-12)
