@@ -85,10 +85,10 @@ def _features(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(features, passages of each text)`` for consecutive texts, about a piece of bytes at a time; a longer text comes whole, built from pieces cut at spaces."""
-    raws = [(t or "").encode("utf-8", "replace") for t in texts]
-    for a, z in tk.pieces(raws):
-        if z == a + 1 and len(raws[a]) > 2 * tk.PIECE:
-            raw, parts, at = raws[a], [], 0
+    for a, z in tk.pieces(texts):
+        raws = [(t or "").encode("utf-8", "replace") for t in texts[a:z]]
+        if z == a + 1 and len(raws[0]) > 4 * tk.PIECE:
+            raw, parts, at = raws[0], [], 0
             while at < len(raw):
                 end = at + tk.PIECE
                 if end < len(raw):
@@ -98,7 +98,7 @@ def encode(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             x = np.concatenate(parts)
             yield x, np.array([len(x)])
         else:
-            yield _features(b"\n".join(raws[a:z]), np.cumsum([len(r) + 1 for r in raws[a:z]]))
+            yield _features(b"\n".join(raws), np.cumsum([len(r) + 1 for r in raws]))
 
 
 class Model(NamedTuple):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,20 +25,39 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups from a partition that is sorted by ``keys``; holds one group and one batch."""
+def offsets(f: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where the groups of a sorted frame begin, and its length."""
+    change = np.zeros(len(f), bool)
+    change[:1] = True
+    for k in keys:
+        v = f[k].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(change), len(f))
+
+
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of complete groups from a partition sorted by ``keys``, each with the offsets of its groups and its length; holds a batch and a group."""
     held: list[pd.DataFrame] = []
+
     for f in frames:
         if not len(f):
             continue
-        k = f[keys]
-        change = (k != k.shift()).any(axis=1).to_numpy()
-        starts = [0, *(change[1:].nonzero()[0] + 1), len(f)]
-        for a, z in zip(starts, starts[1:]):
-            part = f.iloc[a:z]
-            if held and not part[keys].iloc[0].equals(held[-1][keys].iloc[-1]):
-                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
-                held = []
-            held.append(part)
+        # only if a group ends in this batch is what is held put together
+        if held and len(offsets(f, keys)) == 2 and all(f[k].iloc[0] == held[-1][k].iloc[-1] for k in keys):
+            held.append(f)
+            continue
+        f = pd.concat([*held, f], ignore_index=True) if held else f.reset_index(drop=True)
+        at = offsets(f, keys)
+        if len(at) > 2:
+            yield f.iloc[: at[-2]], at[:-1]
+        held = [f.iloc[at[-2] :]]
     if held:
-        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+        f = pd.concat(held, ignore_index=True)
+        yield f, np.array([0, len(f)])
+
+
+def groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The same, one group at a time."""
+    for f, at in whole_groups(frames, keys):
+        for a, z in zip(at[:-1], at[1:]):
+            yield f.iloc[a:z].reset_index(drop=True)

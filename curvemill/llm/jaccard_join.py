@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from curvemill.llm import blocks as bl
 from curvemill.llm import textkit as tk
-from curvemill.llm.flow import groups, materialize, only, small
+from curvemill.llm.flow import materialize, offsets, only, small, whole_groups
 from curvemill.llm.graph import components
 
 BANDS, ROWS, STEP, TOLERANCE = 24, 4, 16, 1e-5
@@ -51,55 +51,46 @@ def _sketch(n: int):
     return run
 
 
+def _candidates(sig: np.ndarray, side: np.ndarray, cross: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block (or of two blocks) that survive the pruning."""
+    found = [bl.survivors(sig, slice(s, s + 256), bl.pairs_allowed(slice(s, s + 256), side, cross), STEP, threshold, TOLERANCE) for s in range(0, len(sig), 256)]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _surviving(f: pd.DataFrame, at: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    side = f["side"].to_numpy()
+    return bl.group_pairs(at, f["x"].to_numpy() != f["y"].to_numpy(), lambda i, j: bl.surviving(sig, i, j, STEP, threshold, TOLERANCE),
+                          lambda a, z, cross: _candidates(sig[a:z], side[a:z], cross, threshold))
+
+
 def _prune(threshold: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, held = [], 0
-        for g in groups(frames, ["key", "x", "y"]):
-            if len(g) < 2:
-                continue
-            cid, side, cross = g["cid"].to_numpy(), g["side"].to_numpy(), g["x"].iloc[0] != g["y"].iloc[0]
-            sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), -1)
-            found = [bl.survivors(sig, slice(s, s + 256), bl.pairs_allowed(slice(s, s + 256), side, cross), STEP, threshold, TOLERANCE) for s in range(0, len(g), 256)]
-            i, j = (np.concatenate(x) for x in zip(*found))
+        for f, at in whole_groups(frames, ["key", "x", "y"]):
+            i, j = _surviving(f, at, np.frombuffer(b"".join(f["sig"]), np.uint16).reshape(len(f), -1), threshold)
             if len(i):
-                out.append(bl.linked(cid, i, j, np.zeros(len(g), np.int64)))
-                held += len(out[-1])
-            if held > 20_000:
-                yield pd.concat(out)
-                out, held = [], 0
-        if out:
-            yield pd.concat(out)
+                yield bl.linked(f["cid"].to_numpy(), i, j)
 
     return run
 
 
 def _verify(threshold: float, n: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        for g in groups(frames, ["component", "x", "y"]):
-            g = g.drop_duplicates("cid", ignore_index=True)
-            if len(g) < 2:
-                continue
-            cid, weight, side, cross = g["cid"].to_numpy(), g["copies"].to_numpy(), g["side"].to_numpy(), g["x"].iloc[0] != g["y"].iloc[0]
+        for f, _ in whole_groups(frames, ["component", "x", "y"]):
+            f = f.drop_duplicates(["component", "x", "y", "cid"], ignore_index=True)  # repeated rows of the input
+            at = offsets(f, ["component", "x", "y"])
             sets, sig = [], []
-            for _, _, h, count in tk.words(g["text"].tolist()):
+            for _, _, h, count in tk.words(f["text"].tolist()):
                 s, size = tk.shingles(h, count, n)
                 sets += tk.distinct(s, size)
                 sig.append(tk.signatures(s, size, BANDS * ROWS))
-            sig, size = np.concatenate(sig), np.array([len(x) for x in sets])
-            found = [bl.survivors(sig, slice(s, s + 256), bl.pairs_allowed(slice(s, s + 256), side, cross), STEP, threshold, TOLERANCE) for s in range(0, len(g), 256)]
-            i, j = (np.concatenate(x) for x in zip(*found))
-            both = bl.overlaps(sets, i, j)
-            real = both >= threshold * (size[i] + size[j] - both) - 1e-9
-            i, j = i[real], j[real]
+            i, j = _surviving(f, at, np.concatenate(sig), threshold)
+            i, j = bl.verified(sets, i, j, threshold)
             if len(i):
-                add = np.bincount(i, weight[j], len(g)) + np.bincount(j, weight[i], len(g))
-                out.append(bl.linked(cid, i, j, add.astype(np.int64)))
-            if len(out) > 200:
-                yield pd.concat(out)
-                out = []
-        if out:
-            yield pd.concat(out)
+                cid, weight = f["cid"].to_numpy(), f["copies"].to_numpy()
+                add = (np.bincount(i, weight[j], len(f)) + np.bincount(j, weight[i], len(f))).astype(np.int64)
+                nodes, root = bl.roots(cid[i], cid[j])
+                some = np.flatnonzero(add)  # a member of several pairs of blocks has a row for each
+                yield pd.DataFrame({"cid": cid[some], "add": add[some], "root": root[np.searchsorted(nodes, cid[some])]})
 
     return run
 

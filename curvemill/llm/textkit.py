@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WORD_BREAK = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
-PIECE = 1 << 20
+PIECE = 1 << 19
 SHINGLE = 5
 THRESHOLD = 0.8
 
@@ -36,11 +36,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(12, int(n).bit_length())
-    if size not in _POWERS:
-        if size > 2 * PIECE:
-            return tuple(np.cumprod(np.concatenate(([_U(1)], np.full(size - 1, x)))) for x in (_STEP, _U(pow(int(_STEP), -1, 2**64))))
-        _POWERS[size] = tuple(np.cumprod(np.concatenate(([_U(1)], np.full(size - 1, x)))) for x in (_STEP, _U(pow(int(_STEP), -1, 2**64))))
-    return _POWERS[size]
+    if size in _POWERS:
+        return _POWERS[size]
+    both = tuple(np.cumprod(np.concatenate(([_U(1)], np.full(size - 1, x)))) for x in (_STEP, _U(pow(int(_STEP), -1, 2**64))))
+    if size <= 4 * PIECE:  # those of longer texts are not worth keeping
+        _POWERS[size] = both
+    return both
 
 
 def spans_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -61,16 +62,17 @@ def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return spans_hash(b, edge[::2], edge[1::2]), edge[::2]
 
 
-def pieces(raws: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of ``raws`` of about PIECE bytes together."""
+def pieces(texts: list) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about PIECE characters together."""
     at, held = 0, 0
-    for i, r in enumerate(raws):
-        if held and held + len(r) > PIECE:
+    for i, t in enumerate(texts):
+        size = len(t) if t else 0
+        if held and held + size > PIECE:
             yield at, i
             at, held = i, 0
-        held += len(r) + 1
-    if at < len(raws):
-        yield at, len(raws)
+        held += size + 1
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def lowered(texts: list) -> list[bytes]:
@@ -94,14 +96,14 @@ def _long_words(raw: bytes) -> np.ndarray:
 
 def words(texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first, last, hashes, counts)``: word hashes of texts ``[first, last)`` one after the other, and how many each has."""
-    raws = lowered(texts)
-    for a, z in pieces(raws):
-        if z == a + 1 and len(raws[a]) > 2 * PIECE:
-            h = _long_words(raws[a])
+    for a, z in pieces(texts):
+        raws = lowered(texts[a:z])
+        if z == a + 1 and len(raws[0]) > 4 * PIECE:
+            h = _long_words(raws[0])
             yield a, z, h, np.array([len(h)])
             continue
-        h, at = _word_hashes(b"\n".join(raws[a:z]))
-        ends = np.cumsum([len(r) + 1 for r in raws[a:z]])
+        h, at = _word_hashes(b"\n".join(raws))
+        ends = np.cumsum([len(r) + 1 for r in raws])
         yield a, z, h, np.diff(np.searchsorted(at, ends), prepend=0)
 
 
