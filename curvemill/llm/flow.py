@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import ArrowException
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvemill.session import materialize, scratch_path  # noqa: F401  operators import them from here
+from curvemill.session import scratch_path
 
 # bytes that a table may have to be broadcast
 BROADCAST_BYTES = 8 << 20
+# folders of the stages written so far
+WRITTEN: list[str] = []
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write to the shared folder and read back, which outlives executors."""
+    path = scratch_path(df.sparkSession, "llm")
+    df.write.parquet(path)
+    WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(paths: list[str]) -> None:
+    """Delete written stages that no pending result reads any more."""
+    for path in paths:
+        with contextlib.suppress(OSError, ArrowException):  # a store that only Spark deletes from keeps them
+            system, inside = FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+            system.delete_dir(inside)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
