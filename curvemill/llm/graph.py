@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from curvemill.llm.flow import materialize
 
-# edges that a task joins at once
-CHUNK = 1_000_000
+# edges that a task joins at once; edges in all, counted after the first joining, that one task finishes without rounds
+CHUNK, FEW = 1_000_000, 10_000
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +66,11 @@ def components(edges: DataFrame) -> DataFrame:
         r = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         return r[0], r[1]
 
-    before = (None, None)
-    while True:
+    before = mark(e)
+    if before[0] <= FEW:
+        e = materialize(e.coalesce(1).mapInPandas(_contract, "a long, b long"))
+        before = (0, None)
+    while before[0]:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -77,7 +80,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = materialize(small.where("a <> b").distinct())
         now = mark(e)
-        if now == before or not now[0]:
+        if now == before:
             break
         before = now
     top = e.select(F.col("b").alias("a"), "b").distinct()

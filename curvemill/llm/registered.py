@@ -34,6 +34,9 @@ MODULES = ["q_url_filter", "q_warc", "q_pivot_index", "q_attention_quality", "q_
 for _name in MODULES:
     importlib.import_module(f"curvemill.llm.{_name}")
 
-from corpus_pipeline import run  # noqa: E402
 
-QUERIES["pipeline"] = run
+@query("pipeline")
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports the operators and their queries itself
+
+    return corpus_pipeline.run(spark, sf_dir)
