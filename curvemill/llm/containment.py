@@ -61,7 +61,8 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = tk.THRESHOLD
     for r in cut:
         most[r["len"]] = max(r["upto"], most.get(r["len"], r["upto"]))
     own = text.withColumn("w", st.words(F.col("text"))).drop("text")
-    parts = [own.select(*ID, F.explode(st.shingle_hashes(F.col("w"), n)).alias("h")).where(F.col("h") <= F.lit(upto)) for n, upto in sorted(most.items())]
+    # the outer explode, as for the other one Spark infers a filter on the array's size, pushes it below the split and repeats that for every word
+    parts = [own.select(*ID, F.explode_outer(st.shingle_hashes(F.col("w"), n)).alias("h")).where(F.col("h") <= F.lit(upto)) for n, upto in sorted(most.items())]
     probe = parts[0]
     for p in parts[1:]:
         probe = probe.unionByName(p)
@@ -71,6 +72,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = tk.THRESHOLD
     both = text.join(small(cand, 40), ID).join(item.select("item_id", "len", "q", "texts"), "item_id").withColumn("w", st.words(F.col("text"))).drop("text")
     there = F.coalesce(*[F.when(F.col("len") == n, st.shingle_texts(F.col("w"), n)) for n in sorted(most)])
     both = both.withColumn("n_shared", F.size(F.array_intersect("texts", there)))
+    both = materialize(both.select(*ID, "item_id", "n_shared", "q"))  # written, so that the filter is not pushed below the split either
     return both.where(F.col("n_shared") >= threshold * F.col("q") - 1e-9).select(*ID, "item_id", "n_shared", (F.col("n_shared") / F.col("q")).alias("containment")).distinct()
 
 

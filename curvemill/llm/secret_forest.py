@@ -41,7 +41,8 @@ def candidates(docs: DataFrame, path_col: str) -> DataFrame:
     d = docs.select("doc_id", F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("th"))
     d = d.where(F.col("text").rlike(RUN)).select("doc_id", "th", "path", F.split("text", "[ \\t\\n\\r]+").alias("w"))
     long = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("word"))), lambda s: F.length(s["word"]) >= MIN_LENGTH)
-    d = d.select("*", F.explode(F.filter(long, lambda s: s["word"].rlike(RUN))).alias("s"))
+    # explode_outer: for the inner one Spark would infer a filter on the array and split each text twice
+    d = d.select("*", F.explode_outer(F.filter(long, lambda s: s["word"].rlike(RUN))).alias("s")).where("s is not null")
     near = lambda k: F.coalesce(F.get("w", F.col("s.at") + k), F.lit("")) if k > 0 else F.when(F.col("s.at") + k >= 0, F.get("w", F.col("s.at") + k)).otherwise("")
     d = d.select("doc_id", "th", "path", F.col("s.at").alias("word_no"), F.col("s.word").alias("word"), F.regexp_extract("s.word", RUN, 0).alias("candidate"),
                  near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"))
@@ -50,7 +51,7 @@ def candidates(docs: DataFrame, path_col: str) -> DataFrame:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """How often the corpus uses each lower-case ASCII word; counts combine in the tasks before the shuffle."""
-    w = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("w"))
+    w = docs.select(F.explode_outer(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("w"))
     return w.where(F.length("w").between(MIN_LETTERS, MIN_LENGTH - 1)).groupBy("w").agg(F.count(F.lit(1)).alias("uses"))
 
 
