@@ -223,5 +223,5 @@ def caution_reason(label="label", converged="converged", chi2="chi2_red", confid
                         lit_or_col(chi2), F.lit(K.CHI2_RELIABLE_MAX), lit_or_col(label)),
         F.when(conf.isNotNull() & (conf != 0), F.format_string(" at %.0f%% confidence", conf * 100.0))
         .otherwise(F.lit("")),
-        F.lit("; the fitted parameters should not be trusted"))
+        F.lit("; treat the parameters of this fit as unknown"))
     return F.when(caution(label, converged, chi2), text)

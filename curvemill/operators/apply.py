@@ -3,48 +3,41 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from curvemill.operators.skew import GROUP_ROWS, Census, attach, census
 
 ERROR_CHARS = 200
 
 
-def curve_apply_safe(lc: DataFrame, fn: Callable[[str, pd.DataFrame], dict | None], schema: str, cen: Census | None = None,
-                     limit: int = GROUP_ROWS) -> DataFrame:
-    """``fn(target, samples) -> dict | None`` on every curve; ``schema`` names the dict's columns.
+def curve_apply_safe(lc: DataFrame, fn: Callable[[str, Iterator[pd.DataFrame]], dict | None], schema: str) -> DataFrame:
+    """``fn(target, batches) -> dict | None`` on every curve; ``schema`` names the dict's columns.
 
-    An exception becomes a row with ``error`` (at most 200 characters), ``None`` gives no row, and neither
-    stops the job. A function needs its whole curve at once, so a curve beyond ``limit`` samples is not
-    loaded: it comes back as an error row, to be binned first and run again.
+    ``batches`` are the samples in order of ``t``, an Arrow batch at a time, so a curve of any length is passed on without being
+    held; a function that needs it whole can concatenate them. An exception becomes a row with ``error`` (at most 200
+    characters), ``None`` gives no row, and neither stops the job.
     """
-    cen = census(lc, ["target"], limit) if cen is None else cen
     names = [c.split()[0] for c in schema.split(",")]
-    full = f"target string, {schema}, error string"
     empty = dict.fromkeys(names)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        target = pdf["target"].iloc[0]
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = next(frames)
+        target = first["target"].iloc[0]
         try:
-            got = fn(target, pdf.sort_values("t", ignore_index=True))
+            got = fn(target, chain([first], frames))
             rows = [] if got is None else [{**empty, **got, "target": target, "error": None}]
         except Exception as exc:
             rows = [{**empty, "target": target, "error": f"{type(exc).__name__}: {exc}"[:ERROR_CHARS]}]
-        return pd.DataFrame(rows, columns=["target", *names, "error"])
-
-    size = lc.groupBy("target").agg(F.count(F.lit(1)).alias("_n"))
-    fits = attach(lc, size.where(F.col("_n") <= limit).select("target"), ["target"], cen, "left_semi") if cen.heavy else lc
-    out = fits.groupBy("target").applyInPandas(run, full)
-    if cen.heavy:
-        text = F.format_string("CurveTooLarge: %d samples, limit %d; bin it first", F.col("_n"), F.lit(limit))
-        large = size.where(F.col("_n") > limit).select("target", text.alias("error"))
-        out = out.unionByName(large, allowMissingColumns=True)
-    return out
+        for _ in frames:  # what the function left unread
+            pass
+        yield pd.DataFrame(rows, columns=["target", *names, "error"])
+
+    # sorted by (target, t), the input needs no other sort for the groups, so each curve comes in order
+    curves = lc.repartition("target").sortWithinPartitions("target", "t")
+    return curves.groupBy("target").applyInPandas(run, f"target string, {schema}, error string")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -14,7 +14,7 @@ def summary_line(period="period", depth="depth", duration="duration", sde="sde")
     return F.when(
         s >= K.SDE_THRESHOLD,
         F.format_string("Period %.5f d; depth %.0f ppm; duration %.2f h; SDE %.1f", p, dp * 1e6, du * 24.0, s),
-    ).otherwise(F.format_string("No significant periodic dip (SDE %.1f < %.1f)", s, F.lit(K.SDE_THRESHOLD)))
+    ).otherwise(F.format_string("no dip above the limit (SDE %.1f, needed %.1f)", s, F.lit(K.SDE_THRESHOLD)))
 
 
 def fit_warning(chi2="chi2_red", converged="converged") -> Column:

@@ -32,6 +32,8 @@ from curvemill.operators.skew import Census, attach, census
 
 KEY = ["target"]
 POWER_STEP = 1e6
+# points and phase bins that one work item goes through, some seconds of one core
+ITEM_WORK = 200_000_000
 
 
 def bin_width(durations) -> float:
@@ -55,7 +57,7 @@ def spans(lc: DataFrame) -> DataFrame:
 def short_curves(lc: DataFrame, min_period: float = K.MIN_PERIOD, max_period: float = K.MAX_PERIOD) -> DataFrame:
     """Targets that cannot be searched, with the reason."""
     r = search_range(spans(lc), min_period, max_period).where(~F.col("searchable"))
-    return r.select("target", F.format_string("baseline %.2f d too short to search", "span").alias("error"))
+    return r.select("target", F.format_string("a span of %.2f d leaves no period to try", "span").alias("error"))
 
 
 def with_grid(ranges: DataFrame, durations=K.DURATIONS, factor: float = 1.0 / K.OVERSAMPLE,
@@ -86,24 +88,24 @@ def period_grid(lc: DataFrame, min_period: float = K.MIN_PERIOD, max_period: flo
 
 def work_items(lc: DataFrame, cen: Census, chunk: int | None, minutes: float, durations, factor: float,
                n_periods: int | None, min_period: float, max_period: float) -> DataFrame:
-    """One row per (target, grid chunk starting at ``i0``), dealt over the cluster, each with its binned
-    curve. Chunks are cut only as fine as it takes to occupy all cores, to copy curves as little as possible.
+    """One row per (target, grid chunk starting at ``i0``), dealt over the cluster, each with its binned curve.
+
+    A chunk is ITEM_WORK steps, whatever the number of targets: a trial period costs its points and, for each duration, its phase bins. So a
+    long curve becomes many items, and no item holds more than its curve and its chunk.
     """
-    cores = lc.sparkSession.sparkContext.defaultParallelism
-    per_target = max(1, -(-2 * cores // max(cen.n_groups, 1)))
     g = with_grid(search_range(binning.packed_curve(lc, minutes, cen), min_period, max_period), durations, factor, n_periods)
-    step = F.lit(chunk).cast("bigint") if chunk else F.ceil(F.col("n") / per_target)
+    cost = F.size("c") + len(list(durations)) * math.ceil(max_period / bin_width(durations))
+    step = F.lit(chunk).cast("bigint") if chunk else F.greatest(F.lit(1), F.floor(ITEM_WORK / cost)).cast("bigint")
     g = g.withColumn("step", step).withColumn(
         "i0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.col("step"))))
-    tasks = max(2 * cores, -(-cen.n_groups * per_target // 256))
-    return g.repartition(tasks, "target", "i0")
+    return g.repartition("target", "i0")
 
 
 # -- relational search -------------------------------------------------------------------------------
 
-def periodogram(lc: DataFrame, n_periods: int = 200, chunk: int | None = None, minutes: float = K.SEARCH_BIN_MINUTES,
+def periodogram(lc: DataFrame, n_periods: int | None = None, chunk: int | None = None, minutes: float = K.SEARCH_BIN_MINUTES,
                 durations=K.DURATIONS, min_period: float = K.MIN_PERIOD, max_period: float = K.MAX_PERIOD,
-                cen: Census | None = None) -> DataFrame:
+                cen: Census | None = None, factor: float = 1.0 / K.OVERSAMPLE) -> DataFrame:
     """Best box per trial period: ``(target, i, period, power, depth, duration, t0)``.
 
     Everything after ``work_items`` keeps its (target, chunk) partitioning, so phase bins, box sums and
@@ -116,7 +118,7 @@ def periodogram(lc: DataFrame, n_periods: int = 200, chunk: int | None = None, m
     sizes = [max(int(round(d / width)), 1) for d in durations]
     kmax = max(sizes)
     part = ["target", "i0", "i"]
-    items = work_items(lc, cen, chunk, minutes, durations, 1.0, n_periods, min_period, max_period)
+    items = work_items(lc, cen, chunk, minutes, durations, factor, n_periods, min_period, max_period)
     last = F.least(F.col("n"), F.col("i0") + F.col("step")) - 1
     x = items.withColumn("all_w", F.aggregate("c", F.lit(0.0), lambda a, s: a + s["w"])).withColumn(
         "all_wy", F.aggregate("c", F.lit(0.0), lambda a, s: a + s["w"] * s["flux"]))
@@ -175,9 +177,9 @@ def peaks(pg: DataFrame) -> DataFrame:
     return out.withColumn("detected", F.col("sde") >= K.SDE_THRESHOLD)
 
 
-def box_search(lc: DataFrame, n_periods: int = 200, **options) -> DataFrame:
-    """Detection per target on a grid of ``n_periods`` trial periods."""
-    return peaks(periodogram(lc, n_periods, **options))
+def box_search(lc: DataFrame, n_periods: int | None = None, **options) -> DataFrame:
+    """Detection per target, on the default grid or one of ``n_periods`` trial periods."""
+    return box_search_large(lc, n_periods=n_periods, **options)
 
 
 # -- full grids --------------------------------------------------------------------------------------

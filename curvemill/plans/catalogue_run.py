@@ -97,7 +97,7 @@ def run_catalogue(lc: DataFrame, model: PipelineModel | None, classes: list[str]
     out = out.withColumn("summary", summary_line()).withColumn("warning", fit_warning())
     every = lc.select("target").distinct()
     out = attach(every, out, KEY, cen, "left").withColumn(
-        "message", F.when(F.col("sde").isNull(), "too few valid points after cleaning").when(~F.col("detected"), "below detection threshold"))
+        "message", F.when(F.col("sde").isNull(), "not enough samples left to search").when(~F.col("detected"), "peak below the limit"))
     return search.rank(out)
 
 
@@ -126,7 +126,7 @@ def result_documents(lc: DataFrame, det: DataFrame, points: int = 2500, cen: Cen
     found = F.col("sde") >= K.SDE_THRESHOLD
     detection = F.struct(F.col("period").alias("period_days"), "t0", (F.col("duration") * 24.0).alias("duration_hours"),
                          (F.col("depth") * 1e6).alias("depth_ppm"), "sde")
-    message = F.format_string("No significant periodic dip: SDE %.1f is below the detection threshold of %.1f.", "sde", F.lit(K.SDE_THRESHOLD))
+    message = F.format_string("no dip above the limit: SDE %.1f, needed %.1f", "sde", F.lit(K.SDE_THRESHOLD))
     vec = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in {
         "log_period": F.log10("period"), "duration_phase_frac": F.try_divide(F.col("duration"), F.col("period")), "sde": F.col("sde")}.items()]))
     doc = F.struct(F.col("target"), found.alias("detected"), F.when(found, detection).alias("detection"), F.when(~found, message).alias("message"),

@@ -281,7 +281,7 @@ def unit_projection(spark, sf):
 
 @query("summary_text", ctes("det_user") + """
 SELECT target, CASE WHEN sde >= 7 THEN printf('Period %.5f d; depth %.0f ppm; duration %.2f h; SDE %.1f', period, depth * 100, duration * 24, sde)
-  ELSE printf('No significant periodic dip (SDE %.1f < 7.0)', sde) END AS summary FROM det_user""")
+  ELSE printf('no dip above the limit (SDE %.1f, needed 7.0)', sde) END AS summary FROM det_user""")
 def summary_text(spark, sf):
     from curvemill.operators.report import summary_line
     d = view(spark, sf, "det_user").withColumn("depth", F.col("depth") * 1e-4)

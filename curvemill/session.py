@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,13 +27,15 @@ def local_session(cores: str = "8", app: str = "curvemill", memory: str = "12g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint dir, a temp folder only if unset."""
+    """Folder every executor can reach: the cluster's checkpoint dir. Only a local master may do without; it gets a temp folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local(\[(?!.*,.*,)|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(root)
     return root

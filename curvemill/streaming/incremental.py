@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +15,11 @@ from curvemill.operators.skew import first_per_key
 
 def incremental(spark: SparkSession, source: str, schema: T.StructType, fn: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
                 max_files: int | None = None, every: str | None = None):
-    """Run ``fn`` over files new since the last run and add the result to ``out``.
+    """Keep one row of ``fn`` per target up to date while files arrive; read them with ``latest``.
 
-    Each micro-batch owns one folder and overwrites it, so a batch that is run again after a kill is not
-    counted twice. ``every`` (such as "60 seconds") keeps the job alive; without it the job ends when all
+    A micro-batch stores its samples, and ``fn`` runs over all samples, of this batch and earlier ones, of the targets that it touches. So a
+    target whose samples come in several files, batches or runs has a right row. Each micro-batch owns its folders and overwrites them: one
+    that is run again after a kill is not counted twice. ``every`` (such as "60 seconds") keeps the job alive; without it the job ends when all
     present files are done.
     """
     read = spark.readStream.schema(schema)
@@ -25,13 +27,23 @@ def incremental(spark: SparkSession, source: str, schema: T.StructType, fn: Call
         read = read.option("maxFilesPerTrigger", max_files)
 
     def write(batch: DataFrame, number: int) -> None:
-        fn(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/samples/batch={number}")
+        stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{out}/samples")
+        touched = stored.where(F.col("batch") == number).select("target").distinct()
+        known = stored.where(F.col("batch") <= number).drop("batch").join(touched, "target", "left_semi")
+        fn(known).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
     job = read.parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     job = job.trigger(processingTime=every) if every else job.trigger(availableNow=True)
     return job.start()
 
 
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """The row of each target from the last batch that touched it."""
+    rows = spark.read.parquet(f"{out}/rows")
+    return first_per_key(rows, ["target"], [-F.col("batch")]).drop("batch")
+
+
 def merge_settled(df: DataFrame) -> DataFrame:
     """One row per target: a success, else a settled failure, else a retryable one."""
     order = [F.col("error").isNotNull(), ~C.settled(), F.col("seed"), F.col("shard"), F.col("label_idx")]
@@ -47,15 +59,14 @@ def new_attempts(batch: DataFrame, store: DataFrame) -> DataFrame:
 def settled_store(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str):
     """Add new attempts to an append-only store, skipping targets settled earlier. Read the store through
     ``merge_settled``."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(out)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
     def write(batch: DataFrame, number: int) -> None:
         kept = spark.createDataFrame([], schema)
-        if fs.exists(folder):
-            # a batch that is run again must not see its own earlier output
+        # a batch that is run again must not see its own earlier output
+        try:
             kept = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out).where(F.col("batch") < number)
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":  # nothing stored so far
+                raise
         new_attempts(batch, kept).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write)

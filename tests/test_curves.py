@@ -69,7 +69,7 @@ def test_search_finds_the_period_and_both_forms_agree(spark):
 
 def test_short_curves_are_reported(spark):
     lc = curve(spark, np.linspace(0, 0.8, 50), np.ones(50))
-    assert search.short_curves(lc).first()["error"] == "baseline 0.80 d too short to search"
+    assert search.short_curves(lc).first()["error"] == "a span of 0.80 d leaves no period to try"
     assert search.box_search_large(lc, n_periods=20).count() == 0
 
 

@@ -67,18 +67,35 @@ def test_confidence_of_one_is_in_no_bin(spark):
     assert [(round(r["centre"], 2), r["n"]) for r in ev.reliability_table(df).collect()] == [(0.95, 5)]
 
 
-def test_errors_become_rows_and_large_curves_are_named(spark):
-    df = spark.createDataFrame([("ok", float(i), 1.0) for i in range(5)] + [("bad", float(i), -1.0) for i in range(5)] + [("big", float(i), 1.0) for i in range(50)],
-                               "target string, t double, flux double")
-
-    def fn(target, pdf):
-        if pdf["flux"].iloc[0] < 0:
-            raise RuntimeError("x" * 500)
-        return {"n": len(pdf)}
-
-    got = {r["target"]: r for r in curve_apply_safe(df, fn, "n long", limit=20).collect()}
+def test_errors_become_rows_and_long_curves_come_in_batches(spark):
+    df = spark.createDataFrame([("ok", float(i), 1.0) for i in range(5)] + [("bad", float(i), -1.0) for i in range(5)], "target string, t double, flux double")
+    n = 1_200_000
+    # dealt out of order
+    big = spark.range(n, numPartitions=4).select(F.lit("big").alias("target"), ((F.col("id") * 7919) % n).cast("double").alias("t"), F.lit(1.0).alias("flux"))
+
+    def fn(target, batches):
+        rows, parts, last, ordered = 0, 0, float("-inf"), True
+        for b in batches:
+            if b["flux"].iloc[0] < 0:
+                raise RuntimeError("x" * 500)
+            ordered &= bool(b["t"].is_monotonic_increasing and b["t"].iloc[0] >= last)
+            rows, parts, last = rows + len(b), parts + 1, b["t"].iloc[-1]
+        return {"n": rows, "parts": parts, "ordered": ordered}
+
+    got = {r["target"]: r for r in curve_apply_safe(df.unionByName(big), fn, "n long, parts long, ordered boolean").collect()}
     assert got["ok"]["n"] == 5 and got["ok"]["error"] is None
-    assert len(got["bad"]["error"]) == 200 and got["big"]["error"].startswith("CurveTooLarge: 50")
+    assert len(got["bad"]["error"]) == 200
+    assert got["big"]["n"] == n and got["big"]["parts"] > 1 and got["big"]["ordered"]
+
+
+def test_incremental_rows_are_right_for_targets_in_several_batches(spark):
+    src, out, ckpt = (scratch_path(spark, n) for n in ("in", "rows", "ck"))
+    lc = spark.createDataFrame([(f"T{i % 3}", float(i), float(i * i % 97), 0.1, 0) for i in range(90)], readers.CURVE_SCHEMA)
+    writers.append_shard(lc.repartition(6), src)
+    count = lambda b: b.groupBy("target").agg(F.count("t").alias("n"), F.sum("flux").alias("s"))
+    inc.incremental(spark, src, readers.CURVE_SCHEMA, count, out, ckpt, max_files=1).awaitTermination()
+    got = {r["target"]: (r["n"], r["s"]) for r in inc.latest(spark, out).collect()}
+    assert got == {r["target"]: (r["n"], r["s"]) for r in count(lc).collect()}
 
 
 def test_second_run_adds_nothing(spark):
