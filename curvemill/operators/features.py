@@ -8,14 +8,18 @@ order-statistics pass. "Unmeasurable" stays NULL where it must not be read as ze
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvemill import constants as K
 from curvemill.functions import columns as C
 from curvemill.operators.binning import trend_amplitude
-from curvemill.operators.skew import Census, attach, census, grouped_quantiles, spread
+from curvemill.operators.kernels import grid_sums
+from curvemill.operators.skew import Census, attach, census, grouped_quantiles
 
 KEY = ["target"]
 DEPTH_FLOOR = 1e-7
@@ -163,19 +167,23 @@ def ls_grid(spark, n_freq: int) -> DataFrame:
 def lomb_scargle(lc: DataFrame, n_freq: int = K.LS_FREQ_COUNT, cen: Census | None = None) -> DataFrame:
     """Power on a linear frequency grid, floating mean, standard normalisation: ``(target, k, f, power)``.
 
-    Each sample meets every frequency of a fixed-size grid inside its own task; seven sums per
-    (target, frequency) combine before they travel.
+    Six sums per (target, frequency) are added up in arrays by ``grid_sums``; no sample meets a frequency as a row.
     """
     cen = census(lc, KEY) if cen is None else cen
     mid = lc.groupBy("target").agg(F.avg("flux").alias("_y"), F.var_pop("flux").alias("yy"))
     step = (K.LS_FREQ_MAX - K.LS_FREQ_MIN) / (n_freq - 1)
-    x = spread(attach(lc.select("target", "t", "flux"), mid, KEY, cen), cen).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_freq - 1))))
-    x = x.withColumn("f", F.col("k") * step + K.LS_FREQ_MIN)
-    x = x.withColumn("_a", F.col("f") * F.col("t") * (2.0 * math.pi)).withColumn("y", F.col("flux") - F.col("_y"))
-    x = x.withColumn("c", F.cos("_a")).withColumn("s", F.sin("_a"))
-    g = x.groupBy("target", "yy", "k", "f").agg(*[F.avg(v).alias(n) for n, v in {
-        "mc": F.col("c"), "ms": F.col("s"), "cc": F.col("c") * F.col("c"), "cs": F.col("c") * F.col("s"),
-        "yc": F.col("y") * F.col("c"), "ys": F.col("y") * F.col("s")}.items()])
+    low = K.LS_FREQ_MIN
+
+    def kernel(g):
+        t, y = g["t"].to_numpy(), g["flux"].to_numpy() - g["_y"].to_numpy()
+        angle = np.multiply.outer(t, (np.arange(n_freq) * step + low)) * (2.0 * math.pi)
+        c, s = np.cos(angle), np.sin(angle)
+        return c.sum(0), s.sum(0), np.einsum("ij,ij->j", c, c), np.einsum("ij,ij->j", c, s), y @ c, y @ s
+
+    x = attach(lc.select("target", "t", "flux").where("t is not null and flux is not null"), mid, KEY, cen)
+    names = ["mc", "ms", "cc", "cs", "yc", "ys"]
+    g = grid_sums(x, kernel, n_freq, names, cen, ["yy"]).withColumn("f", F.col("k") * step + K.LS_FREQ_MIN)
+    g = g.withColumns({c: F.col(c) / F.col("n") for c in names})
     cc = F.col("cc") - F.col("mc") * F.col("mc")
     ss = (1.0 - F.col("cc")) - F.col("ms") * F.col("ms")
     cs = F.col("cs") - F.col("mc") * F.col("ms")
@@ -238,3 +246,6 @@ def feature_vector(lc: DataFrame, det: DataFrame, n_freq: int = K.LS_FREQ_COUNT,
         "oot_skew": F.coalesce(oot_skew(), F.lit(0.0)), "log_oot_var_to_depth": F.coalesce("log_oot_var_to_depth", F.lit(0.0)),
     }
     return y.select("target", *[cols[n].alias(n) for n in K.FEATURE_NAMES])
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

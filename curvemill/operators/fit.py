@@ -1,12 +1,16 @@
 """Dip templates fitted by distributed grid search.
 
-Samples meet a fixed-size parameter grid inside their own task; the few sums per (target, grid point)
-that determine the fit combine before the shuffle. Linear parameters (depth, base) are solved in closed
+Samples meet a fixed-size parameter grid inside their own task, as arrays; the few sums per (target, grid point)
+that determine the fit are all that is shuffled. Linear parameters (depth, base) are solved in closed
 form from those sums, so only the shape parameters need a grid.
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +18,8 @@ from curvemill import constants as K
 from curvemill.functions import columns as C
 from curvemill.operators import clean
 from curvemill.operators.cells import cadence, time_rank
-from curvemill.operators.skew import Census, attach, census, grouped_quantiles, spread
+from curvemill.operators.kernels import grid_sums
+from curvemill.operators.skew import Census, attach, census, grouped_quantiles
 from curvemill.session import materialize
 
 KEY = ["target"]
@@ -28,6 +33,14 @@ def _pick(values: list[float], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in values]), index.cast("int") + 1)
 
 
+def shape(dt: np.ndarray, h14: np.ndarray, h23: np.ndarray) -> np.ndarray:
+    """``trapezoid_shape`` of samples (rows) for half-widths (columns)."""
+    x = np.abs(dt)
+    x = x[:, None] if x.ndim == 1 else x
+    slope = np.where(h14 > h23, h14 - h23, 1.0)
+    return np.where(x <= h23, 1.0, np.where((x < h14) & (h14 > h23), (h14 - x) / slope, 0.0))
+
+
 def trapezoid_fit(lc: DataFrame, det: DataFrame, minimum: int = 20, cen: Census | None = None) -> DataFrame:
     """Best trapezoid near the events: shape ratio T23/T14, depth ratio and residual ratio.
 
@@ -40,14 +53,18 @@ def trapezoid_fit(lc: DataFrame, det: DataFrame, minimum: int = 20, cen: Census
     outer = F.when(F.abs("_dt") > F.col("duration"), F.col("flux"))
     base = grouped_quantiles(x, KEY, {"_b0": (outer, 0.5)}, cen, extra=[F.count(F.lit(1)).alias("_near")])
     base = base.where(F.col("_near") > minimum).select("target", F.coalesce("_b0", F.lit(1.0)).alias("_b0"))
-    y = spread(attach(x, base, KEY, cen), cen).withColumn("_g", F.col("flux") - F.col("_b0"))
+    y = attach(x, base, KEY, cen).select("target", "t", "flux", "_dt", (F.col("flux") - F.col("_b0")).alias("_g"), "depth", "duration", "_b0")
     m = len(T23_RATIOS)
-    y = y.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(T14_FACTORS) * m - 1))))
-    t14 = F.col("duration") * _pick(T14_FACTORS, F.floor(F.col("j") / m))
-    y = y.withColumn("_s", C.trapezoid_shape("_dt", t14, t14 * _pick(T23_RATIOS, F.col("j") % m)))
-    g = y.groupBy("target", "depth", "duration", "_b0", "j").agg(*[F.sum(v).alias(n) for n, v in {
-        "s": F.col("_s"), "ss": F.col("_s") * F.col("_s"), "g": F.col("_g"), "gs": F.col("_g") * F.col("_s"),
-        "gg": F.col("_g") * F.col("_g")}.items()], F.count(F.lit(1)).cast("double").alias("n"))
+    factors, ratios = np.repeat(T14_FACTORS, m), np.tile(T23_RATIOS, len(T14_FACTORS))
+
+    def kernel(p):
+        half = p["duration"].iloc[0] * factors / 2.0
+        s, v = shape(p["_dt"].to_numpy(), half, half * ratios), p["_g"].to_numpy()
+        one = np.ones(len(half))
+        return s.sum(0), np.einsum("ij,ij->j", s, s), v.sum() * one, v @ s, (v * v).sum() * one
+
+    g = grid_sums(y, kernel, len(factors), ["s", "ss", "g", "gs", "gg"], cen, ["depth", "duration", "_b0"])
+    g = g.withColumnRenamed("k", "j").withColumn("n", F.col("n").cast("double"))
     n, s, ss, gv, gs, gg = (F.col(c) for c in ("n", "s", "ss", "g", "gs", "gg"))
     det2 = n * ss - s * s
     free = C.clamp(F.when(det2 > 1e-9, (s * gv - n * gs) / F.when(det2 > 1e-9, det2)).otherwise(F.lit(0.0)), 0, 1)
@@ -79,25 +96,29 @@ AXES = {"t": 9, "p": 9, "w": 5, "r": 3}
 
 def _round(x: DataFrame, centre: DataFrame, cen: Census) -> DataFrame:
     """chi-square of every grid point around ``centre`` (centres ``c_*`` and half-widths ``h_*`` per axis)."""
-    y = spread(attach(x, centre, KEY, cen), cen)
-    total = 1
-    for n in AXES.values():
-        total *= n
-    y = y.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
+    sizes = list(AXES.values())
+    place = np.unravel_index(np.arange(int(np.prod(sizes))), sizes, order="F")  # the first axis runs fastest
+    offset = {name: k / ((n - 1) / 2.0) - 1.0 for (name, n), k in zip(AXES.items(), place)}
+
+    def kernel(p):
+        one = p.iloc[0]
+        v = {name: one[f"c_{name}"] + one[f"h_{name}"] * offset[name] for name in offset}
+        t, w, drop = p["t"].to_numpy()[:, None], p["_w"].to_numpy(), 1.0 - p["flux"].to_numpy()
+        dt = t - v["t"]
+        dt -= np.rint(dt / v["p"]) * v["p"]
+        half = np.maximum(v["w"], 1e-6) / 2.0
+        s = shape(dt, half, half * np.clip(v["r"], 0, 1))
+        return (w * drop) @ s, w @ (s * s), (w * drop * drop).sum() * np.ones(len(half))
+
+    const = [f"{a}_{n}" for a in "ch" for n in AXES]
+    g = grid_sums(attach(x, centre.select("target", *const), KEY, cen), kernel, len(place[0]), ["a", "b", "c"], cen, const).withColumnRenamed("k", "j")
     rest, vals = F.col("j"), {}
     for name, n in AXES.items():
         k = rest % n
         rest = F.floor(rest / n)
         vals[name] = F.col(f"c_{name}") + F.col(f"h_{name}") * (k / ((n - 1) / 2.0) - 1.0)
     vals["r"] = C.clamp(vals["r"], 0, 1)
-    y = y.withColumns({f"v_{n}": v for n, v in vals.items()})
-    width = F.greatest(F.col("v_w"), F.lit(1e-6))
-    shape = C.trapezoid_shape(C.from_mid_event("t", "v_t", "v_p"), width, width * F.col("v_r"))
-    y = y.withColumn("_s", shape).withColumn("_m", 1.0 - F.col("flux"))
-    keep = ["target", "j", *[f"v_{n}" for n in AXES], *[f"h_{n}" for n in AXES]]
-    g = y.groupBy(*keep).agg(
-        F.sum(F.col("_w") * F.col("_s") * F.col("_m")).alias("a"), F.sum(F.col("_w") * F.col("_s") * F.col("_s")).alias("b"),
-        F.sum(F.col("_w") * F.col("_m") * F.col("_m")).alias("c"), F.count(F.lit(1)).alias("n"))
+    g = g.withColumns({f"v_{n}": v for n, v in vals.items()}).drop(*[f"c_{n}" for n in AXES])
     depth = C.clamp(F.coalesce(F.col("a") / F.when(F.col("b") > 0, F.col("b")), F.lit(0.0)), 0, MAX_DEPTH)
     g = g.withColumn("depth", depth)
     return g.withColumn("chi2", F.col("c") - F.col("depth") * F.col("a") * 2.0 + F.col("depth") * F.col("depth") * F.col("b"))
@@ -208,3 +229,6 @@ def observed_depth(fit: DataFrame, points: int = 401) -> DataFrame:
     dt = F.col("duration") * (F.col("_k") / ((points - 1) / 2.0) - 1.0)
     model = C.trapezoid(dt, "depth", "duration", "t23", "base")
     return x.groupBy("target", "depth").agg(F.max(F.col("base") - model).alias("depth_observed"))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -63,11 +63,6 @@ def task_count(spark, n_rows: int, per_task: int = 1_000_000) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, -(-n_rows // per_task))
 
 
-def spread(df: DataFrame, cen: Census, per_task: int = 200_000) -> DataFrame:
-    """Even out rows before each of them is multiplied by a grid; round robin, so no key can be hot."""
-    return df.repartition(task_count(df.sparkSession, cen.n_rows, per_task))
-
-
 def split_heavy(df: DataFrame, keys: Sequence[str], cen: Census) -> tuple[DataFrame, DataFrame]:
     """(light rows, heavy rows)."""
     if cen.heavy is EVERY:

@@ -13,7 +13,7 @@ from curvemill.plans.registry import query
 from curvemill.plans.views import ctes, view
 
 KEY = ["target"]
-N_FREQ = 400
+N_FREQ = 4000
 
 PHASED = f"""ph AS (SELECT l.target, t, flux, period, t0, duration, depth, CAST({EPOCH} AS BIGINT) AS e1, (t - t0) - {EPOCH} * period AS d1,
   CAST({EPOCH.replace('period', '(period * 2.0E0)')} AS BIGINT) AS e2, (t - t0) - {EPOCH.replace('period', '(period * 2.0E0)')} * (period * 2.0E0) AS d2,

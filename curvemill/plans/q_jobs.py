@@ -186,7 +186,7 @@ def refresh_features(spark, sf):
     have = lc.select("target").distinct().join(det.select("target", "sde"), "target", "left")
     hit = det.where(F.col("sde") >= K.SDE_THRESHOLD)
     hit = hit.join(search.peak_snr(lc, hit, cen).select("target", "snr"), "target").join(search.event_counts(lc, hit, cen), "target")
-    vec = features.feature_vector(lc.join(hit.select("target"), "target", "left_semi"), hit, 50, cen=cen).drop("sde")
+    vec = features.feature_vector(lc.join(hit.select("target"), "target", "left_semi"), hit, cen=cen).drop("sde")
     x = known.join(have.withColumn("_have", F.lit(True)), "target", "left").join(vec, "target", "left")
     error = (F.when(F.col("_have").isNull(), F.lit("not cached"))
              .when(F.col("sde").isNull() | (F.col("sde") < K.SDE_THRESHOLD), F.format_string("no detection (SDE %.1f)", "sde")))
