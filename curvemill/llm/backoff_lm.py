@@ -28,7 +28,9 @@ from curvemill.llm.flow import groups, materialize, only
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
 # tokens of a bundle; n-grams of a part of the count table, before they are merged
-BUNDLE, PART = 1_200_000, 3_000_000
+BUNDLE, PART = 600_000, 3_000_000
+# bytes that keep the distance from an n-gram's hash to the next one in a sorted part
+NEAR = 7
 
 _U = np.uint64
 ROW = "bundle long, part int, a binary, b binary, c binary, d binary"
@@ -43,6 +45,23 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as distances, which take fewer bytes; keys too far apart for that in full. The first byte tells which."""
+    far = np.diff(keys, prepend=_U(0))
+    if len(far) and far.max() >> _U(8 * NEAR):
+        return b"\x08" + keys.tobytes()
+    return bytes([NEAR]) + np.ascontiguousarray(far.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NEAR]).tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    if raw[0] == 8:
+        return np.frombuffer(raw, "<u8", offset=1)
+    some = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, NEAR)
+    out = np.zeros((len(some), 8), np.uint8)
+    out[:, :NEAR] = some
+    return np.cumsum(out.view("<u8").reshape(-1))
+
+
 def pack(counts: np.ndarray) -> tuple[bytes, bytes]:
     """Counts as bytes, those from 255 on in full behind."""
     return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.uint64).tobytes()
@@ -94,10 +113,10 @@ def _opened(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _different(h: np.ndarray, n: np.ndarray, order: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All n-grams of a bundle, each once, sorted by part and hash: hash, count, place of each occurrence among them, cuts between parts."""
     keys, place, count = np.unique(np.concatenate([k for _, k in ngrams(h, n, order)]), return_inverse=True, return_counts=True)
-    part = (tk.mix(keys) % _U(parts)).astype(np.int64)
+    part = (tk.mix(keys) % _U(parts)).astype(np.int32)
     by = np.argsort(part, kind="stable")
-    new = np.empty(len(by), np.int64)
-    new[by] = np.arange(len(by))
+    new = np.empty(len(by), np.int32)
+    new[by] = np.arange(len(by), dtype=np.int32)
     return keys[by], count[by], new[place.reshape(-1)], np.searchsorted(part[by], np.arange(parts + 1))
 
 
@@ -108,7 +127,7 @@ def _explode(order: int, parts: int):
                 keys, count, _, cut = _different(*_opened(a, b, c), order, parts)
                 some = np.flatnonzero(np.diff(cut))
                 packed = [pack(count[cut[p] : cut[p + 1]]) for p in some]
-                yield pd.DataFrame({"bundle": bundle, "part": some.astype(np.int32), "a": [keys[cut[p] : cut[p + 1]].tobytes() for p in some],
+                yield pd.DataFrame({"bundle": bundle, "part": some.astype(np.int32), "a": [pack_keys(keys[cut[p] : cut[p + 1]]) for p in some],
                                     "b": [x for x, _ in packed], "c": [x for _, x in packed], "d": b""})
 
     return run
@@ -117,8 +136,8 @@ def _explode(order: int, parts: int):
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Merge a part of the count table, and give each bundle the counts of its n-grams: which reach MIN_COUNT, and those counts."""
     for g in groups(frames, ["part"]):
-        size = np.array([len(x) // 8 for x in g["a"]])
-        keys, place = np.unique(np.frombuffer(b"".join(g["a"]), np.uint64), return_inverse=True)
+        size = np.array([len(x) for x in g["b"]])
+        keys, place = np.unique(np.concatenate([unpack_keys(x) for x in g["a"]]), return_inverse=True)
         place = place.reshape(-1)
         total = np.bincount(place, np.concatenate([unpack(b, c) for b, c in zip(g["b"], g["c"])]), len(keys)).astype(np.int64)
         found = np.split(total[place], np.cumsum(size)[:-1])
@@ -168,7 +187,7 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``doc_id, n_tokens, n_backoff`` (words whose longest n-gram is not seen), ``log_score`` and ``mean_log_score`` of every row of ``docs(doc_id, text)``."""
     d = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     bundles = d.mapInPandas(_bundle, "a binary, b binary, c binary, d binary, tokens long")
-    bundles = materialize(bundles.withColumn("bundle", F.monotonically_increasing_id()))
+    bundles = materialize(bundles.withColumn("bundle", F.monotonically_increasing_id()), codec="zstd")
     corpus = bundles.agg(F.sum("tokens")).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, least, -(-corpus * order // PART))

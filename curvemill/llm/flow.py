@@ -20,10 +20,10 @@ BROADCAST_BYTES = 8 << 20
 WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Cut lineage: write to the shared folder and read back, which outlives executors."""
     path = scratch_path(df.sparkSession, "llm")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -26,7 +26,7 @@ from curvemill.llm.flow import materialize, small
 MAX_EPOCHS, SEED = 2, 17
 LEAF = ["domain", "lang", "source"]
 # hex digits of the key that make a bin
-BIN = 4
+BIN = 3
 
 
 class Weights(NamedTuple):
