@@ -36,6 +36,11 @@ def finite_or_null(c) -> Column:
     return F.when(is_finite(c), lit_or_col(c))
 
 
+def clamp_int(c: Column, hi: Column) -> Column:
+    """A whole number between 0 and ``hi``."""
+    return F.greatest(F.lit(0), F.least(c, hi))
+
+
 def clamp(c, lo: float, hi: float) -> Column:
     """NULL stays NULL; ``least``/``greatest`` alone would skip it."""
     c = lit_or_col(c)

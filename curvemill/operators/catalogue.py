@@ -133,7 +133,7 @@ def acquisition_plan(catalogue: DataFrame, done: DataFrame, per_class: int) -> D
 
 def plan_take(catalogue: DataFrame, done: DataFrame, per_class: int, tie: str = "target") -> DataFrame:
     """Targets to acquire: the brightest ``take`` per class, most deficient class first."""
-    plan = F.broadcast(acquisition_plan(catalogue, done, per_class).select("label", "deficit", "take"))  # one row per class
+    plan = acquisition_plan(catalogue, done, per_class).select("label", "deficit", "take")
     tried = done.where(C.settled()).select("target").distinct()
     pool = catalogue.join(tried, "target", "left_anti")
     ranked = grouped_row_number(pool, ["label"], {"m": F.col("mag"), "t": F.col(tie)})
@@ -152,7 +152,7 @@ def stratified_split(df: DataFrame, key: str, label: str, fractions: dict[str, f
     """Exact shares per label: the first ``ceil(f1 n)`` rows in hash order go to the first part and so on."""
     cen = census(df, [label])
     x = grouped_row_number(df, [label], {"h": hash_order(F.col(key), seed), "k": F.col(key)}, cen)
-    n = F.broadcast(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))  # one row per label
+    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     x, out, share = x.join(n, label), None, 0.0
     for name, f in fractions.items():
         share += f
@@ -173,7 +173,7 @@ def group_split(df: DataFrame, test_fraction: float, group: str = "target", seed
 def baseline_split(manifest: DataFrame, fraction: float = 0.25, seed: int = 0) -> DataFrame:
     """Per brightness bin ``max(1, round(fraction x n))`` targets to the test pool."""
     x = grouped_row_number(manifest, ["brightness_bin"], {"h": hash_order(F.col("target"), seed), "k": F.col("target")})
-    n = F.broadcast(manifest.groupBy("brightness_bin").agg(F.count(F.lit(1)).alias("_n")))  # one row per bin
+    n = manifest.groupBy("brightness_bin").agg(F.count(F.lit(1)).alias("_n"))
     cut = F.greatest(F.lit(1.0), F.rint(F.col("_n") * fraction))
     return x.join(n, "brightness_bin").withColumn("split", F.when(F.col("rn") <= cut, "test").otherwise("train")).drop("rn", "_n")
 
@@ -217,8 +217,9 @@ def harmonic_match(recovered: Column, published: Column, tolerance: float = 0.02
 def event_coverage(lc: DataFrame, det: DataFrame, cen: Census | None = None) -> DataFrame:
     """Share of the predicted event windows, clipped to the observed span, that holds samples.
 
-    A sample finds the windows it is in by arithmetic on its own epoch, so no range join is needed;
-    windows are summed per target from their number alone.
+    A sample finds the windows it is in by arithmetic on its own epoch, so no range join is needed. The length of all windows in the span is
+    that up to its end less that up to its begin; either is a sum over whole windows and an arithmetic series over cut ones, so a
+    tiny period costs no more than a long one.
     """
     cen = census(lc, KEY) if cen is None else cen
     usable = C.is_finite("period") & C.is_finite("t0") & C.is_finite("duration") & (F.col("period") > 0) & (F.col("duration") > 0)
@@ -228,12 +229,16 @@ def event_coverage(lc: DataFrame, det: DataFrame, cen: Census | None = None) ->
     hits = attach(lc, ok, KEY, cen).groupBy("target").agg(F.sum(inside).alias("got"))
     span = lc.groupBy("target").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     e = attach(attach(ok, span, KEY, cen), cadence(lc, cen), KEY, cen)
-    k = F.sequence(F.floor((F.col("lo") - t0) / p) - 1, F.ceil((F.col("hi") - t0) / p) + 1)
-    a = F.greatest(t0 + F.col("k") * p - half, F.col("lo"))
-    b = F.least(t0 + F.col("k") * p + half, F.col("hi"))
-    e = e.where(F.col("cadence") > 0).withColumn("k", F.explode(k)).groupBy("target", "cadence").agg(
-        F.sum(F.when(b >= a, b - a).otherwise(F.lit(0.0))).alias("_len"))
-    e = e.select("target", (F.col("_len") / F.col("cadence")).alias("expected")).join(hits, "target")
+    first, last = F.floor((F.col("lo") - t0) / p) - 1, F.ceil((F.col("hi") - t0) / p) + 1
+
+    def upto(x: Column) -> Column:
+        whole = C.clamp_int(F.floor((x - t0 - half) / p) - first + 1, last - first + 1)
+        a, b = first + whole, F.least(F.ceil((x - t0 + half) / p) - 1, last)
+        cut = F.greatest(b - a + 1, F.lit(0))
+        return whole * half * 2.0 + cut * (x - t0 + half) - p * (a + b) * cut / 2.0
+
+    e = e.where(F.col("cadence") > 0)
+    e = e.select("target", ((upto(F.col("hi")) - upto(F.col("lo"))) / F.col("cadence")).alias("expected")).join(hits, "target")
     cov = F.when(F.col("expected") < 1.0, 0.0).otherwise(F.least(F.col("got") / F.col("expected"), F.lit(1.0)))
     return det.select("target").join(e.select("target", cov.alias("coverage")), "target", "left").fillna(0.0, ["coverage"])
 

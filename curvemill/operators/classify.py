@@ -29,7 +29,7 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = n.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
     w = n.join(F.broadcast(total)).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))  # one row
-    return df.join(F.broadcast(w), label)  # one row per class
+    return df.join(w, label)  # a few rows, but their number is the data's: AQE picks the join
 
 
 def _stages(names: list[str]):

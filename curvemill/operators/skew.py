@@ -14,13 +14,14 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curvemill.session import materialize
 
 # rows of one group that a single task may hold
 GROUP_ROWS = 1_000_000
-# rows of a per-group table that may be broadcast
-BROADCAST_ROWS = 200_000
+# rows and bytes of a per-group table that may be broadcast
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 # stands for "treat every group as heavy": there are too many heavy ones to name
@@ -51,9 +52,23 @@ def census(df: DataFrame, keys: Sequence[str], limit: int = GROUP_ROWS) -> Censu
     return Census(top["groups"], top["rows"] or 0, heavy)
 
 
+def row_bytes(df: DataFrame) -> int | None:
+    """Width of a row: 8 bytes a number, 64 a text; None if it holds arrays or maps, whose length nothing bounds."""
+    def width(kind) -> int | None:
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            return None
+        if isinstance(kind, T.StructType):
+            parts = [width(f.dataType) for f in kind.fields]
+            return None if None in parts else sum(parts)
+        return 64 if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+    return width(df.schema)
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], cen: Census, how: str = "inner") -> DataFrame:
-    """Join a one-row-per-group table: broadcast if the census proves it small, else AQE's skew join."""
-    if cen.n_groups <= BROADCAST_ROWS:
+    """Join a one-row-per-group table: broadcast if census and row width prove it small, else AQE's skew join."""
+    width = row_bytes(stats)
+    if width is not None and cen.n_groups <= min(BROADCAST_ROWS, BROADCAST_BYTES // width):
         stats = F.broadcast(stats)
     return df.join(stats, list(keys), how)
 
