@@ -2,7 +2,7 @@
 
 Each task first joins what it holds in a local union-find, chunk by chunk, which leaves at most one edge for each node of a chunk. Then
 alternating stars (large star: hang larger neighbours below the smallest one; small star: hang smaller ones) run until no edge changes;
-the number of rounds follows the logarithm of the longest path. A hub's edges combine before the shuffle, and joins on a hub are split
+the number of rounds follows the logarithm of the longest path. Once the counted edges are FEW (4 MB), one task joins them at once instead. A hub's edges combine before the shuffle, and joins on a hub are split
 by AQE. Every round is written to the shared folder.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from curvemill.llm.flow import materialize
 
 # edges that a task joins at once; edges in all, counted after the first joining, that one task finishes without rounds
-CHUNK, FEW = 1_000_000, 10_000
+CHUNK, FEW = 1_000_000, 250_000
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +67,7 @@ def components(edges: DataFrame) -> DataFrame:
         return r[0], r[1]
 
     before = mark(e)
-    if before[0] <= FEW:
-        e = materialize(e.coalesce(1).mapInPandas(_contract, "a long, b long"))
-        before = (0, None)
-    while before[0]:
+    while before[0] > FEW:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -83,5 +80,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    if 0 < before[0] <= FEW:
+        e = materialize(e.coalesce(1).mapInPandas(_contract, "a long, b long"))
     top = e.select(F.col("b").alias("a"), "b").distinct()
     return e.unionByName(top).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
