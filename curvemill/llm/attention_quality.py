@@ -27,7 +27,7 @@ from curvemill.llm.flow import only
 PASSAGE = 48
 # bounds of the sample that the model is fitted on
 MAX_LABELLED = 6000
-MAX_FIT_CHARS = 200_000
+MAX_FIT_CHARS = 50_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 30, 64, 3e-3, 1e-4
 CUT = 0.3
 
