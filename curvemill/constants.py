@@ -60,14 +60,3 @@ Z95 = 1.959963984540054
 
 # archive observation filter
 EXPOSURE_RANGE = (100, 140)
-
-# stored evaluation baseline: accuracy, macro F1 and per class (precision, recall, n)
-STORED_BASELINE = {
-    "accuracy": 0.653, "macro_f1": 0.614, "n": 320,
-    "per_class": {
-        "transit": (0.582, 0.716, 74),
-        "eclipse": (0.874, 0.833, 108),
-        "blend": (0.435, 0.351, 57),
-        "variable": (0.575, 0.568, 81),
-    },
-}

@@ -188,19 +188,19 @@ def harmonic_error(recovered, true) -> Column:
 
 
 def wilson(correct, n) -> tuple[Column, Column]:
-    """95 % Wilson bounds; NULL when n = 0."""
-    n = lit_or_col(n).cast("double")
-    n = F.when(n > 0, n)
-    p = lit_or_col(correct) / n
-    z = K.Z95
-    denom = 1.0 + z * z / n
-    centre = (p + z * z / (n * 2.0)) / denom
-    half = F.sqrt(p * (1.0 - p) / n + z * z / (n * n * 4.0)) * z / denom
-    return centre - half, centre + half
+    """95 % Wilson bounds; NULL when n = 0.
+
+    The bounds are the rates r at which ``hits`` is exactly Z95 standard errors off, (hits - n r)^2 = Z95^2 n r (1 - r): the roots of a quadratic.
+    """
+    hits, trials = lit_or_col(correct).cast("double"), lit_or_col(n).cast("double")
+    q = K.Z95 * K.Z95
+    a, b = trials + q, hits * 2.0 + q
+    root = F.sqrt(b * b - a * hits * hits / trials * 4.0)
+    return tuple(F.when(trials > 0, r / (a * 2.0)) for r in (b - root, b + root))
 
 
 def accuracy_difference(acc_a, acc_b, n) -> tuple[Column, Column, Column, Column]:
-    """(difference, low, high, distinguishable from zero)."""
+    """Accuracy b less accuracy a on n rows each, its 95 % interval, and whether that leaves out 0."""
     a, b, n = map(lit_or_col, (acc_a, acc_b, n))
     half = F.sqrt(a * (1.0 - a) / n + b * (1.0 - b) / n) * K.Z95
     d = b - a

@@ -66,14 +66,6 @@ def delta_table(new: DataFrame, old: DataFrame, flat: float = 0.005) -> DataFram
         "metric", "old", "new", d.alias("delta"), verdict.alias("verdict"))
 
 
-def stored_baseline(spark) -> DataFrame:
-    b = K.STORED_BASELINE
-    rows = [("accuracy", b["accuracy"]), ("macro_f1", b["macro_f1"])]
-    for c, (p, r, _) in b["per_class"].items():
-        rows += [(f"{c} precision", p), (f"{c} recall", r)]
-    return spark.createDataFrame(rows, "metric string, value double")
-
-
 def report_metrics(report: DataFrame, names: list[str]) -> DataFrame:
     """A classification report as ``(metric, value)``."""
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("c") + 1)

@@ -87,8 +87,28 @@ def reliability_table(spark, sf):
     return ev.reliability_table(s).select(*[C.rd(c).alias(c) for c in ("centre", "mean_confidence", "accuracy")], "n")
 
 
+# scores of an earlier model, the table that new ones are compared with
+STORED_BASELINE = {
+    "accuracy": 0.653, "macro_f1": 0.614, "n": 320,
+    "per_class": {
+        "transit": (0.582, 0.716, 74),
+        "eclipse": (0.874, 0.833, 108),
+        "blend": (0.435, 0.351, 57),
+        "variable": (0.575, 0.568, 81),
+    },
+}
+
+
+def stored_baseline(spark):
+    b = STORED_BASELINE
+    rows = [("accuracy", b["accuracy"]), ("macro_f1", b["macro_f1"])]
+    for c, (p, r, _) in b["per_class"].items():
+        rows += [(f"{c} precision", p), (f"{c} recall", r)]
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
 STORED = "st(metric, old) AS (VALUES ('accuracy', 0.653E0), ('macro_f1', 0.614E0), " + ", ".join(
-    f"('{c} precision', {p}E0), ('{c} recall', {r}E0)" for c, (p, r, _) in K.STORED_BASELINE["per_class"].items()) + ")"
+    f"('{c} precision', {p}E0), ('{c} recall', {r}E0)" for c, (p, r, _) in STORED_BASELINE["per_class"].items()) + ")"
 
 
 @query("baseline_delta", ctes("pred", more=f"{PRED}, {REPORT}, {STORED}") + f"""
@@ -96,7 +116,7 @@ STORED = "st(metric, old) AS (VALUES ('accuracy', 0.653E0), ('macro_f1', 0.614E0
 SELECT metric, old, round(new, 6) AS new, round(new - old, 6) AS delta, CASE WHEN abs(new - old) < 5.0E-3 THEN 'flat' WHEN new > old THEN 'improved' ELSE 'REGRESSED' END AS verdict FROM st JOIN nw USING (metric)""")
 def baseline_delta(spark, sf):
     new = ev.report_metrics(ev.classification_report(scored(spark, sf), 4), NAMES)
-    d = ev.delta_table(new, ev.stored_baseline(spark))
+    d = ev.delta_table(new, stored_baseline(spark))
     return d.select("metric", "old", C.rd("new").alias("new"), C.rd("delta").alias("delta"), "verdict")
 
 
