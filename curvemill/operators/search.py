@@ -193,27 +193,28 @@ def scan_chunk(t, y, w, periods, durations):
     wy = w * y
     tiny = total * 1e-12
     out = np.full((len(periods), 4), np.nan)
-    for n, p in enumerate(periods):
-        nb = math.ceil(p / width)
-        b = (np.fmod(t, p) / width).astype(np.int64)
-        r = np.bincount(b, weights=w, minlength=nb)
-        s = np.bincount(b, weights=wy, minlength=nb)
-        # running sums over the ring, opened once for all durations
-        cr = np.cumsum(np.concatenate(([0.0], r, r[:kmax])))
-        cs = np.cumsum(np.concatenate(([0.0], s, s[:kmax])))
-        top = -1.0
-        for j, k in enumerate(sizes):
-            bw, by = cr[k:k + nb] - cr[:nb], cs[k:k + nb] - cs[:nb]
-            rest = total - bw
-            ok = (bw > tiny) & (rest > tiny)
-            depth = np.divide(total_y - by, rest, out=np.full(nb, -1.0), where=ok)
-            depth -= np.divide(by, bw, out=np.zeros(nb), where=ok)
-            power = 0.5 * bw * depth * depth
-            q = np.where(ok & (depth > 0), np.floor(power * POWER_STEP + 0.5), -1.0)
-            m = int(q.argmax())
-            if q[m] > top:
-                top = q[m]
-                out[n] = power[m], j, m, depth[m]
+    with np.errstate(divide="ignore", invalid="ignore"):  # empty and full boxes are left out below
+        for n, p in enumerate(periods):
+            nb = math.ceil(p / width)
+            b = (np.fmod(t, p) / width).astype(np.int64)
+            r = np.bincount(b, weights=w, minlength=nb)
+            s = np.bincount(b, weights=wy, minlength=nb)
+            # running sums over the ring, opened once for all durations
+            cr = np.cumsum(np.concatenate(([0.0], r, r[:kmax])))
+            cs = np.cumsum(np.concatenate(([0.0], s, s[:kmax])))
+            top = -1.0
+            for j, k in enumerate(sizes):
+                bw, by = cr[k:k + nb] - cr[:nb], cs[k:k + nb] - cs[:nb]
+                rest = total - bw
+                depth = (total_y - by) / rest - by / bw
+                power = 0.5 * bw * depth * depth
+                power[~((depth > 0) & (bw > tiny) & (rest > tiny))] = -1.0
+                best = math.floor(power.max() * POWER_STEP + 0.5)
+                if best > top:
+                    top = best
+                    if best >= 0:
+                        m = int((power * POWER_STEP + 0.5 >= best).argmax())  # the first box of that rounded power
+                        out[n] = power[m], j, m, depth[m]
     return out
 
 
