@@ -153,6 +153,25 @@ def test_secret_forest(spark):
     assert secret_forest.scan(df.where("false")).count() == 0
 
 
+def test_secret_candidates_are_whole(spark):
+    """Every run of a word and every value behind a keyword is a candidate, and keys of formats that the key's name hid are kept."""
+    key, token = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzz0123abcd", "ghp_" + "a1B2c3D4e5F6" * 3
+    texts = {
+        1: f"export aws_secret_access_key={key} end", 2: f'GITHUB_ACCESS_TOKEN="{token}"', 3: '{"a":"0123456789abcdef0","b":"fedcba98765432100","c":"short"}',
+        4: "password=hunter2! and", 5: 'password = "p@ss.w#rd$1" end', 6: "secret: s3cr.et", 7: "https://h.de/?token=abcdefgh12345678&api_key=12345678abcdefgh", 8: "passwd =x!y pwd := 'z'", 9: '\\"pwd\\":\\"a!b\\"', 10: "password=", 11: "plain words",
+    }
+    want = {1: {key, "aws_secret_access_key"}, 2: {token, "GITHUB_ACCESS_TOKEN"}, 3: {"0123456789abcdef0", "fedcba98765432100"}, 4: {"hunter2!"}, 5: {"p@ss.w#rd$1"}, 6: {"s3cr.et"},
+            7: {"abcdefgh12345678", "12345678abcdefgh"}, 8: {"x!y", "z"}, 9: {"a!b"}}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("source", F.lit("x"))
+    got = {}
+    rows = secret_forest.candidates(df, "source").collect()
+    for r in rows:
+        got.setdefault(r["doc_id"], set()).add(r["candidate"])
+    assert got == want and len({(r["doc_id"], r["word_no"], r["candidate_no"]) for r in rows}) == len(rows) == sum(map(len, want.values()))
+    labelled = secret_forest.candidates(df, "source").withColumn("coverage", F.lit(0.0)).withColumn("label", secret_forest.format_label())
+    assert {r["candidate"] for r in labelled.where("label = 1").collect()} == {key, token, "p@ss.w#rd$1", "abcdefgh12345678", "12345678abcdefgh", "hunter2!"}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     benchmark = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
