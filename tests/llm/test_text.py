@@ -194,6 +194,40 @@ def test_backoff_scores(spark, docs, monkeypatch):
     assert backoff_lm.scores(docs.where("false")).count() == 0
 
 
+def brute_scores_of_order(rows, order, alpha=0.4, least=2):
+    seen = Counter()
+    for r in rows:
+        w = plain.words(r[1])
+        seen.update(tuple(w[i - n : i]) for n in range(1, order + 1) for i in range(n, len(w) + 1))
+    total = sum(c for k, c in seen.items() if len(k) == 1)
+    out = Counter()
+    for r in rows:
+        w, s, back = plain.words(r[1]), 0.0, 0
+        for i in range(1, len(w) + 1):
+            longest = min(order, i)
+            n = next((n for n in range(longest, 1, -1) if seen[tuple(w[i - n : i])] >= least), 1)
+            gram = tuple(w[i - n : i])
+            s += math.log(seen[gram] / (seen[gram[:-1]] if n > 1 else total)) + (longest - n) * math.log(alpha)
+            back += n < longest
+        out[(r[0], len(w), back, round(s, 5))] += 1
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_backoff_orders(spark, docs, monkeypatch, order):
+    monkeypatch.setattr(backoff_lm, "BUNDLE", 500)
+    assert order > 2 or brute_scores_of_order(made(), 2) == brute_scores(made())
+    out = backoff_lm.scores(docs, order=order).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_backoff"], round(r["log_score"], 5)) for r in out) == brute_scores_of_order(made(), order)
+
+
+def test_trigrams_are_registered(spark):
+    """The registered trigram query differs from the bigram one: contexts of two words count."""
+    from curvemill.llm import registered
+    two, three = (registered.QUERIES[n](spark, "/root/testdata/sf0.001").agg(F.sum("n_backoff"), F.sum("log_score")).first() for n in ("op7_backoff_lm", "op7_backoff_lm_order3"))
+    assert three[0] > two[0] and three[1] != two[1]
+
+
 def test_mixing_budgets(spark, docs):
     weights = mixing.Weights({"a": 3, "b": 1}, {"en": 2, "de": 0}, {"src1": 2})
     domain = F.when(F.col("source") == "src0", "a").when(F.col("source").isNotNull(), "b")
