@@ -108,3 +108,34 @@ def test_second_run_adds_nothing(spark):
     inc.settled_store(spark, src, ATTEMPT, out, ckpt).awaitTermination()
     got = {r["target"]: r["seed"] for r in inc.merge_settled(spark.read.parquet(out)).collect()}
     assert got == {"a": 1, "b": 2}
+
+
+@pytest.mark.parametrize("name", ["best_of_detrenders_corrected", "two_pass_refine", "catalogue_end_to_end"])
+def test_queries_without_sql_search_the_default_grid(spark, monkeypatch, name):
+    """No number of periods, threshold, number of frequencies or size of the forest is set below the operators' own."""
+    import __spark_entry__ as entry
+    from curvemill import constants as K
+    from curvemill.operators import search
+    from curvemill.plans import catalogue_run, q_jobs
+
+    class Searched(Exception):
+        pass
+
+    seen, run_catalogue = {}, q_jobs.run_catalogue
+
+    def large(*args, **options):
+        seen["grid"] = options.get("n_periods"), {*options} & {"factor", "durations", "min_period", "max_period"}
+        raise Searched
+
+    def trials(lc, methods, cen, n_periods, threshold, minimum, best_trials=catalogue_run.best_trials):
+        seen["threshold"] = threshold
+        return best_trials(lc, methods, cen, n_periods, threshold, minimum)
+
+    monkeypatch.setattr(search, "box_search_large", large)
+    monkeypatch.setattr(catalogue_run, "best_trials", trials)
+    monkeypatch.setattr(q_jobs.cl, "train", lambda *args, **options: seen.update(train=options))
+    monkeypatch.setattr(q_jobs, "run_catalogue", lambda *args, **options: seen.update(options=options) or run_catalogue(*args, **options))
+    with pytest.raises(Searched):
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen["grid"] == (None, set()) and seen.get("threshold", K.SDE_THRESHOLD) == K.SDE_THRESHOLD
+    assert not seen.get("train") and not seen.get("options")
