@@ -117,6 +117,16 @@ def stitch_segments(spark, sf):
         F.count(F.lit(1)).alias("n"), C.rd(F.min("t")).alias("first_t"), C.rd(F.max("t")).alias("last_t"), C.rd(F.sum("flux"), 4).alias("total"))
 
 
+@query("stitch_segments_whole", ctes("lc_user") + """
+SELECT target, count(*) AS n, round(min(t), 6) AS first_t, round(max(t), 6) AS last_t, round(sum(flux), 4) AS total FROM lc_user GROUP BY target""")
+def stitch_segments_whole(spark, sf):
+    """Adjoining segments, and samples without a time in the first: stitched, they hold every row."""
+    lc, t = view(spark, sf, "lc_user"), F.col("t")
+    parts = [lc.where((t < 7) | t.isNull()), *[lc.where((t >= a) & (t < a + 7)) for a in (7, 14, 21)], lc.where(t >= 28)]
+    return cat.stitch(*parts).groupBy("target").agg(
+        F.count(F.lit(1)).alias("n"), C.rd(F.min("t")).alias("first_t"), C.rd(F.max("t")).alias("last_t"), C.rd(F.sum("flux"), 4).alias("total"))
+
+
 # -- rows and errors ----------------------------------------------------------------------------------------
 
 @query("usable_rows", ctes("attempts") + f"SELECT target, shard, seed, label FROM (SELECT *, {CLASS_OF} AS label FROM attempts) WHERE error IS NULL AND label IN ('transit', 'eclipse', 'blend')")
