@@ -192,6 +192,17 @@ def check_schema(features: list[str], expected: list[str] = K.FEATURE_NAMES) ->
                          f"{next((a, b) for a, b in zip([*features, None], [*expected, None]) if a != b)}")
 
 
+def compare_schemas(models: DataFrame, table: DataFrame, expected: list[str] = K.FEATURE_NAMES) -> DataFrame:
+    """A row for each row of ``models(model, features)``, the saved names: ``model, features`` (how many), ``missing`` (features of ``table`` that the model has not),
+    ``extra`` (its names that the table has not) and ``accepted``: none of both, and the same order. The table's features are its columns in ``expected``, in that order."""
+    have = table.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(n) for n in expected if n in table.columns])).alias("at", "name"))
+    named = models.select("model", F.posexplode("features").alias("model_at", "name"))
+    both = models.select("model").crossJoin(F.broadcast(have)).join(named, ["model", "name"], "full_outer")
+    return both.groupBy("model").agg(
+        F.count("model_at").cast("int").alias("features"), F.array_sort(F.collect_list(F.when(F.col("model_at").isNull(), F.col("name")))).alias("missing"),
+        F.array_sort(F.collect_list(F.when(F.col("at").isNull(), F.col("name")))).alias("extra"), F.coalesce(F.every(F.col("at").eqNullSafe(F.col("model_at"))), F.lit(False)).alias("accepted"))
+
+
 # -- regimes ---------------------------------------------------------------------------------------------------------
 
 def evaluate_on(model: PipelineModel, df: DataFrame, classes: list[str]) -> DataFrame:

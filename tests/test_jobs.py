@@ -139,3 +139,11 @@ def test_queries_without_sql_search_the_default_grid(spark, monkeypatch, name):
         entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert seen["grid"] == (None, set()) and seen.get("threshold", K.SDE_THRESHOLD) == K.SDE_THRESHOLD
     assert not seen.get("train") and not seen.get("options")
+
+
+def test_compare_schemas(spark):
+    """Missing, extra and moved names of saved models against a table's columns."""
+    table = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "vec_id int, a double, b double, c double")
+    models = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b"]), (3, ["b", "a", "c"]), (4, ["a", "b", "c", "z"]), (5, [])], "model int, features array<string>")
+    got = {r["model"]: (r["features"], r["missing"], r["extra"], r["accepted"]) for r in classify.compare_schemas(models, table, ["a", "b", "c", "z"]).collect()}
+    assert got == {1: (3, [], [], True), 2: (2, ["c"], [], False), 3: (3, [], [], False), 4: (4, [], ["z"], False), 5: (0, ["a", "b", "c"], [], False)}
