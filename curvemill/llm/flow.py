@@ -16,6 +16,8 @@ from curvemill.session import scratch_path
 
 # bytes that a table may have to be broadcast
 BROADCAST_BYTES = 8 << 20
+# a key is hot with more than this share of all rows, and this many
+HOT_SHARE, HOT_LEAST = 10_000, 1000
 # folders of the stages written so far
 WRITTEN: list[str] = []
 
@@ -48,6 +50,23 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Left join on ``keys`` (null equals null), unique in ``right``, whose ``count`` says how many of the ``total`` rows of ``left`` a key has.
+
+    At most HOT_SHARE keys can have more than a HOT_SHARE-th of all rows: these are broadcast. What is shuffled for the others has no hot key. Both sides
+    are read twice, so they should be written tables.
+    """
+    new = [c for c in right.columns if c not in keys]
+    right = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *new)
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    bound = max(HOT_LEAST, total // HOT_SHARE)
+    heavy, rest = right.where(F.col(count) > bound), right.where(F.col(count) <= bound)
+    out = left.join(F.broadcast(heavy), same).unionByName(left.join(F.broadcast(heavy), same, "left_anti").join(rest, same, "left"))
+    return out.select(*left.columns, *new)
+
+
 def offsets(f: pd.DataFrame, keys: list[str]) -> np.ndarray:
     """Where the groups of a sorted frame begin, and its length."""
     change = np.zeros(len(f), bool)
