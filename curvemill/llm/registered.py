@@ -29,7 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-MODULES = ["q_url_filter", "q_warc", "q_pivot_index", "q_attention_quality", "q_jaccard_join", "q_fuzzy_lines", "q_containment", "q_mixing", "q_backoff_lm", "q_secret_forest"]
+MODULES = ["q_url_filter", "q_warc", "q_pivot_index", "q_attention_quality", "q_jaccard_join", "q_fuzzy_lines", "q_containment", "q_mixing", "q_backoff_lm", "q_secret_forest",
+           "q_cuckoo_index", "q_active_codes", "q_mask_search"]
 
 for _name in MODULES:
     importlib.import_module(f"curvemill.llm.{_name}")

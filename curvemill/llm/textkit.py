@@ -7,7 +7,7 @@ so memory does not follow the size of an Arrow batch or of one text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -94,10 +94,14 @@ def _long_words(raw: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
-def words(texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def ascii_lowered(texts: list) -> list[bytes]:
+    return [(t or "").encode("utf-8", "replace").lower() for t in texts]
+
+
+def words(texts: list, lower: Callable[[list], list[bytes]] = lowered) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first, last, hashes, counts)``: word hashes of texts ``[first, last)`` one after the other, and how many each has."""
     for a, z in pieces(texts):
-        raws = lowered(texts[a:z])
+        raws = lower(texts[a:z])
         if z == a + 1 and len(raws[0]) > 4 * PIECE:
             h = _long_words(raws[0])
             yield a, z, h, np.array([len(h)])
