@@ -6,7 +6,7 @@ points to the search however many samples it has. Two forms of the same search:
 ``box_search``       relational, for bounded grids: phase-binned sums per (target, period), running box sums
                      as range frames over the occupied phase bins, best box by one ``max``.
 ``box_search_large`` full grids: the grid is cut into chunks, (target, chunk) is the unit of work, NumPy
-                     inside the task; chunk results are peaks and moments that merge exactly.
+                     inside the task (`boxscan`); chunk results are peaks and moments that merge exactly.
 
 A phase bin is ``min(durations) / 10`` wide and phase 0 is the curve's first sample. A box of k bins is
 periodic in phase and may start at any bin. Power is the log-likelihood gain r * depth^2 / 2 with
@@ -16,7 +16,6 @@ r = sum of weights in the box, depth = mean outside - mean inside, dips only. Po
 
 from __future__ import annotations
 
-import math
 import sys
 
 import numpy as np
@@ -28,16 +27,14 @@ from pyspark.sql import functions as F
 from curvemill import constants as K
 from curvemill.functions import columns as C
 from curvemill.operators import binning
+from curvemill.operators.boxscan import POWER_STEP, bin_width, box_sizes, scan_chunk, scan_frequencies
 from curvemill.operators.skew import Census, attach, census
 
 KEY = ["target"]
-POWER_STEP = 1e6
-# points and phase bins that one work item goes through, some seconds of one core
-ITEM_WORK = 200_000_000
-
-
-def bin_width(durations) -> float:
-    return min(durations) / 10.0
+# points and phase bins that a work item goes through, at least (some seconds of a core) and at most; items of a job while a target can be cut that far
+ITEM_WORK, MOST_WORK, ITEMS = 100_000_000, 3_000_000_000, 2000
+# trial periods that a task holds at once
+PIECE = 20_000
 
 
 # -- trial grid ------------------------------------------------------------------------------------
@@ -90,12 +87,14 @@ def work_items(lc: DataFrame, cen: Census, chunk: int | None, minutes: float, du
                n_periods: int | None, min_period: float, max_period: float) -> DataFrame:
     """One row per (target, grid chunk starting at ``i0``), dealt over the cluster, each with its binned curve.
 
-    A chunk is ITEM_WORK steps, whatever the number of targets: a trial period costs its points and, for each duration, its phase bins. So a
-    long curve becomes many items, and no item holds more than its curve and its chunk.
+    A trial period costs its points and, for each duration, its mean number of phase bins. A target is cut into as many items as make ITEMS items of all targets, of
+    ITEM_WORK at least and MOST_WORK at most. So with many targets a curve is shipped once, a long one becomes many items, and no item holds more than its curve.
     """
     g = with_grid(search_range(binning.packed_curve(lc, minutes, cen), min_period, max_period), durations, factor, n_periods)
-    cost = F.size("c") + len(list(durations)) * math.ceil(max_period / bin_width(durations))
-    step = F.lit(chunk).cast("bigint") if chunk else F.greatest(F.lit(1), F.floor(ITEM_WORK / cost)).cast("bigint")
+    bins = F.log(F.col("fmax") / F.col("fmin")) / (F.col("fmax") - F.col("fmin")) / bin_width(durations)
+    work = F.col("n") * (F.size("c") + len(list(durations)) * bins)
+    wanted = F.greatest(F.ceil(work / MOST_WORK), F.least(F.ceil(work / ITEM_WORK), F.lit(-(-ITEMS // max(1, cen.n_groups)))), F.lit(1))
+    step = F.lit(chunk).cast("bigint") if chunk else F.ceil(F.col("n") / wanted).cast("bigint")
     g = g.withColumn("step", step).withColumn(
         "i0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.col("step"))))
     return g.repartition("target", "i0")
@@ -184,40 +183,6 @@ def box_search(lc: DataFrame, n_periods: int | None = None, **options) -> DataFr
 
 # -- full grids --------------------------------------------------------------------------------------
 
-def scan_chunk(t, y, w, periods, durations):
-    """Best box of every trial period over dense phase bins: (power, duration index, start, depth)."""
-    width = bin_width(durations)
-    sizes = [max(int(round(d / width)), 1) for d in durations]
-    kmax = max(sizes)
-    total, total_y = w.sum(), (w * y).sum()
-    wy = w * y
-    tiny = total * 1e-12
-    out = np.full((len(periods), 4), np.nan)
-    with np.errstate(divide="ignore", invalid="ignore"):  # empty and full boxes are left out below
-        for n, p in enumerate(periods):
-            nb = math.ceil(p / width)
-            b = (np.fmod(t, p) / width).astype(np.int64)
-            r = np.bincount(b, weights=w, minlength=nb)
-            s = np.bincount(b, weights=wy, minlength=nb)
-            # running sums over the ring, opened once for all durations
-            cr = np.cumsum(np.concatenate(([0.0], r, r[:kmax])))
-            cs = np.cumsum(np.concatenate(([0.0], s, s[:kmax])))
-            top = -1.0
-            for j, k in enumerate(sizes):
-                bw, by = cr[k:k + nb] - cr[:nb], cs[k:k + nb] - cs[:nb]
-                rest = total - bw
-                depth = (total_y - by) / rest - by / bw
-                power = 0.5 * bw * depth * depth
-                power[~((depth > 0) & (bw > tiny) & (rest > tiny))] = -1.0
-                best = math.floor(power.max() * POWER_STEP + 0.5)
-                if best > top:
-                    top = best
-                    if best >= 0:
-                        m = int((power * POWER_STEP + 0.5 >= best).argmax())  # the first box of that rounded power
-                        out[n] = power[m], j, m, depth[m]
-    return out
-
-
 def box_search_large(lc: DataFrame, chunk: int | None = None, n_periods: int | None = None,
                      minutes: float = K.SEARCH_BIN_MINUTES, durations=K.DURATIONS, factor: float = 1.0 / K.OVERSAMPLE,
                      min_period: float = K.MIN_PERIOD, max_period: float = K.MAX_PERIOD,
@@ -227,35 +192,75 @@ def box_search_large(lc: DataFrame, chunk: int | None = None, n_periods: int | N
     One work item is (target, chunk of the grid), so a single long curve spreads over the cluster.
     """
     cen = census(lc, KEY) if cen is None else cen
-    items = work_items(lc, cen, chunk, minutes, durations, factor, n_periods, min_period, max_period).select(
-        "target", "tmin", "fmax", "df", "n", "i0", "step", F.col("c.t").alias("t"), F.col("c.flux").alias("y"), F.col("c.w").alias("w"))
-    durs, width = list(durations), bin_width(durations)
-    sizes = [max(int(round(d / width)), 1) for d in durs]
+    durs, width, sizes = list(durations), bin_width(durations), box_sizes(durations)
+
+    def peak(it) -> tuple | None:
+        """Best period and moments of one item, a piece of its grid at a time."""
+        t, y, w = np.asarray(it.t) - it.tmin, np.asarray(it.y), np.asarray(it.w)
+        top, at, n, mean, m2 = -1.0, None, 0, 0.0, 0.0
+        for a in range(it.i0, min(it.i0 + it.step, it.n), PIECE):
+            i = np.arange(a, min(a + PIECE, it.i0 + it.step, it.n))
+            power = scan_frequencies(t, y, w, it.fmax - i * it.df, durs, detail=False)[:, 0]
+            ok = np.isfinite(power)
+            if not ok.any():
+                continue
+            q = np.floor(np.where(ok, power, -1.0) * POWER_STEP + 0.5)
+            if q.max() > top:
+                top, at = q.max(), int(i[q.argmax()])
+            k, own = int(ok.sum()), float(power[ok].mean())
+            m2 += float(((power[ok] - own) ** 2).sum()) + (own - mean) ** 2 * n * k / (n + k)
+            mean += (own - mean) * k / (n + k)
+            n += k
+        if at is None:
+            return None
+        period = 1.0 / (it.fmax - at * it.df)
+        power, j, start, depth = scan_chunk(t, y, w, [period], durs)[0]
+        if not np.isfinite(power):  # a dip within rounding
+            return None
+        return (it.target, at, period, it.tmin + ((start + sizes[int(j)] * 0.5) * width) % period, durs[int(j)], float(depth), float(power), n, mean, m2)
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for it in pdf.itertuples(index=False):
-                i = np.arange(it.i0, min(it.i0 + it.step, it.n))
-                periods = 1.0 / (it.fmax - i * it.df)
-                best = scan_chunk(np.asarray(it.t) - it.tmin, np.asarray(it.y), np.asarray(it.w), periods, durs)
-                power = best[:, 0]
-                ok = np.isfinite(power)
-                if not ok.any():
-                    continue
-                m = int(np.nanargmax(np.floor(power * POWER_STEP + 0.5)))
-                j, start = int(best[m, 1]), int(best[m, 2])
-                mean = float(power[ok].mean())
-                rows.append((it.target, int(i[m]), float(periods[m]), it.tmin + ((start + sizes[j] * 0.5) * width) % periods[m],
-                             durs[j], float(best[m, 3]), float(power[m]), int(ok.sum()), mean,
-                             float(((power[ok] - mean) ** 2).sum())))
+            rows = [r for r in map(peak, pdf.itertuples(index=False)) if r is not None]
             yield pd.DataFrame(rows, columns=["target", "i", "period", "t0", "duration", "depth", "power", "n", "mean", "m2"])
 
+    items = _items(lc, cen, chunk, minutes, durations, factor, n_periods, min_period, max_period)
     part = items.mapInPandas(run, "target string, i long, period double, t0 double, duration double, depth double, "
                                   "power double, n long, mean double, m2 double")
     return merge_chunks(part)
 
 
+def _items(lc, cen, *options) -> DataFrame:
+    """`work_items` with the curve as arrays."""
+    return work_items(lc, cen, *options).select(
+        "target", "tmin", "fmax", "df", "n", "i0", "step", F.col("c.t").alias("t"), F.col("c.flux").alias("y"), F.col("c.w").alias("w"))
+
+
+def periodogram_large(lc: DataFrame, chunk: int | None = None, n_periods: int | None = None, minutes: float = K.SEARCH_BIN_MINUTES,
+                      durations=K.DURATIONS, factor: float = 1.0 / K.OVERSAMPLE, min_period: float = K.MIN_PERIOD,
+                      max_period: float = K.MAX_PERIOD, cen: Census | None = None) -> DataFrame:
+    """The rows of ``periodogram`` on grids of any size, by the kernels of ``box_search_large``; what a task holds is PIECE rows."""
+    cen = census(lc, KEY) if cen is None else cen
+    durs, width, sizes = np.array(list(durations)), bin_width(durations), np.array(box_sizes(durations))
+
+    def run(batches):
+        for pdf in batches:
+            for it in pdf.itertuples(index=False):
+                t, y, w = np.asarray(it.t) - it.tmin, np.asarray(it.y), np.asarray(it.w)
+                for a in range(it.i0, min(it.i0 + it.step, it.n), PIECE):
+                    i = np.arange(a, min(a + PIECE, it.i0 + it.step, it.n))
+                    f = it.fmax - i * it.df
+                    best = scan_frequencies(t, y, w, f, durs)
+                    ok = np.isfinite(best[:, 0])
+                    best, i, period = best[ok], i[ok], 1.0 / f[ok]
+                    j = best[:, 1].astype(int)
+                    yield pd.DataFrame({"target": it.target, "i": i, "period": period, "power": best[:, 0], "depth": best[:, 3], "duration": durs[j],
+                                        "t0": it.tmin + ((best[:, 2] + sizes[j] * 0.5) * width) % period})
+
+    items = _items(lc, cen, chunk, minutes, durations, factor, n_periods, min_period, max_period)
+    return items.mapInPandas(run, "target string, i long, period double, power double, depth double, duration double, t0 double")
+
+
 def merge_chunks(part: DataFrame) -> DataFrame:
     """Merge chunk peaks and moments; spread about the common mean, not differences of raw squares."""
     key = F.struct(F.floor(F.col("power") * POWER_STEP + 0.5), -F.col("i"))

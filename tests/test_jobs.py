@@ -45,7 +45,7 @@ def test_leak_is_refused(spark):
     a = spark.createDataFrame([("s1",), ("s2",)], "target string")
     with pytest.raises(ValueError, match="1 targets"):
         cat.assert_disjoint(a, spark.createDataFrame([("s2",), ("s3",)], "target string"))
-    with pytest.raises(ValueError, match="no target column"):
+    with pytest.raises(ValueError, match="need a target column"):
         cat.assert_disjoint(a.withColumnRenamed("target", "name"), a)
 
 
