@@ -31,8 +31,9 @@ from curvemill.operators.boxscan import POWER_STEP, bin_width, box_sizes, scan_c
 from curvemill.operators.skew import Census, attach, census
 
 KEY = ["target"]
-# points and phase bins that a work item goes through, at least (some seconds of a core) and at most; items of a job while a target can be cut that far
-ITEM_WORK, MOST_WORK, ITEMS = 100_000_000, 3_000_000_000, 2000
+# points and phase bins that a work item goes through, at least (some seconds of a core) and at most; items of a job while a target can be cut that far;
+# tasks
+ITEM_WORK, MOST_WORK, ITEMS, MOST_TASKS = 100_000_000, 3_000_000_000, 2000, 20_000
 # trial periods that a task holds at once
 PIECE = 20_000
 
@@ -90,14 +91,20 @@ def work_items(lc: DataFrame, cen: Census, chunk: int | None, minutes: float, du
     A trial period costs its points and, for each duration, its mean number of phase bins. A target is cut into as many items as make ITEMS items of all targets, of
     ITEM_WORK at least and MOST_WORK at most. So with many targets a curve is shipped once, a long one becomes many items, and no item holds more than its curve.
     """
-    g = with_grid(search_range(binning.packed_curve(lc, minutes, cen), min_period, max_period), durations, factor, n_periods)
-    bins = F.log(F.col("fmax") / F.col("fmin")) / (F.col("fmax") - F.col("fmin")) / bin_width(durations)
-    work = F.col("n") * (F.size("c") + len(list(durations)) * bins)
-    wanted = F.greatest(F.ceil(work / MOST_WORK), F.least(F.ceil(work / ITEM_WORK), F.lit(-(-ITEMS // max(1, cen.n_groups)))), F.lit(1))
-    step = F.lit(chunk).cast("bigint") if chunk else F.ceil(F.col("n") / wanted).cast("bigint")
-    g = g.withColumn("step", step).withColumn(
+    def cut(ranges: DataFrame, points: Column) -> DataFrame:
+        g = with_grid(search_range(ranges, min_period, max_period), durations, factor, n_periods)
+        bins = F.log(F.col("fmax") / F.col("fmin")) / (F.col("fmax") - F.col("fmin")) / bin_width(durations)
+        work = F.col("n") * (points + len(list(durations)) * bins)
+        most = F.lit(-(-ITEMS // max(1, cen.n_groups)))
+        wanted = F.greatest(F.ceil(work / MOST_WORK), F.least(F.ceil(work / ITEM_WORK), most), F.lit(1))
+        return g.withColumn("work", work).withColumn("step", F.lit(chunk).cast("bigint") if chunk else F.ceil(F.col("n") / wanted).cast("bigint"))
+
+    # items are few bytes and much work, so tasks are counted by work; points are those that the curve has at most
+    total = cut(spans(lc), F.col("span") * (1440.0 / minutes)).agg(F.sum("work"), F.sum(F.ceil(F.col("n") / F.col("step")))).first()
+    tasks = max(1, min(2 * (total[1] or 0), MOST_TASKS, max(4 * lc.sparkSession.sparkContext.defaultParallelism, int((total[0] or 0) / ITEM_WORK))))
+    g = cut(binning.packed_curve(lc, minutes, cen), F.size("c")).withColumn(
         "i0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.col("step"))))
-    return g.repartition("target", "i0")
+    return g.repartition(tasks, "target", "i0")
 
 
 # -- relational search -------------------------------------------------------------------------------
