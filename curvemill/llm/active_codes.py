@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvemill.llm.flow import WRITTEN, delete, join_counted, materialize, only
+from curvemill.llm.flow import delete, join_counted, materialize, only, stage
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 LARGEST = 1 << 26
@@ -102,7 +102,7 @@ def _sums(dim: int):
 
 
 def kept(vectors: DataFrame) -> DataFrame:
-    """``vec_id, label, x`` (whole numbers) of the vectors that take part, written."""
+    """``vec_id, label, x`` (whole numbers) of the vectors that take part."""
     v = only(vectors, "vec_id", "embedding", "label").withColumn("e", F.col("embedding").cast("array<double>"))
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     v = v.where(F.col("e").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: F.coalesce(sound(x), F.lit(False))))
@@ -110,13 +110,12 @@ def kept(vectors: DataFrame) -> DataFrame:
     wide = F.exists("x", lambda x: F.abs(x) >= LARGEST)
     message = F.lit(f"a component is too large for 64-bit sums: {LARGEST // SCALE} or more")
     v = v.withColumn("x", F.when(wide, F.raise_error(message).cast("array<int>")).otherwise(F.col("x").cast("array<int>")))
-    return materialize(v)
+    return v
 
 
 def train(vectors: DataFrame) -> tuple[DataFrame, list[np.ndarray]]:
     """``vec_id, label, code, dist`` (of each part) for the kept vectors, and the final codebooks."""
-    v = kept(vectors)
-    stage = WRITTEN[-1]
+    v, path = stage(kept(vectors))
     first = v.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(ENTRIES).select("x").collect()
     if not first:
         return v.select("vec_id", "label", F.array().cast("array<int>").alias("code"), F.array().cast("array<long>").alias("dist")), [np.zeros((0, 0), np.int64)] * PARTS
@@ -128,9 +127,8 @@ def train(vectors: DataFrame) -> tuple[DataFrame, list[np.ndarray]]:
     none = F.array_repeat(F.lit(0), PARTS)
     state = v.where(F.size("x") == dim).withColumns({"code": none, "dist": none.cast("array<long>")})
     for r in range(ROUNDS + 1):
-        before = stage
-        state = materialize(state.mapInPandas(_assign(dim, books, moved), STATE))
-        stage = WRITTEN[-1]
+        before = path
+        state, path = stage(state.mapInPandas(_assign(dim, books, moved), STATE))
         delete([before])
         if r == ROUNDS:
             return state.select("vec_id", "label", "code", "dist"), books

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from curvemill.llm import sqltext as st
 from curvemill.llm import textkit as tk
-from curvemill.llm.flow import materialize, only, small
+from curvemill.llm.flow import materialize, only, scratch, small
 from curvemill.llm.jaccard_join import keyed
 
 SKETCH, MISS = 16, 1e-6
@@ -78,7 +78,8 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = tk.THRESHOLD
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = tk.THRESHOLD, k: int = tk.SHINGLE) -> DataFrame:
     """``docs`` without the documents that contain an item."""
-    found = materialize(contained(docs, items, threshold, k).select(*ID).distinct())
+    with scratch() as keep:
+        found = keep(contained(docs, items, threshold, k).select(*ID).distinct())
     clash = {c: f"_doc_{c}" for c in docs.columns if c in ID}
     left = keyed(docs.withColumnsRenamed(clash)).join(small(found, 24), ID, "left_anti").drop(*ID)
     return left.withColumnsRenamed({v: c for c, v in clash.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
 from pyarrow import ArrowException
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvemill.session import scratch_path
@@ -18,16 +20,61 @@ from curvemill.session import scratch_path
 BROADCAST_BYTES = 8 << 20
 # a key is hot with more than this share of all rows, and this many
 HOT_SHARE, HOT_LEAST = 10_000, 1000
-# folders of the stages written so far
+# rows of an Arrow batch, bytes of a Parquet row group: what a task buffers of long texts
+BATCH_ROWS, ROW_GROUP = 1000, 16 << 20
+# folders of the stages written so far; they go when the process ends, unless deleted before
 WRITTEN: list[str] = []
+_OPEN: ContextVar[list[str] | None] = ContextVar("_OPEN", default=None)
+
+
+def small_batches(spark: SparkSession) -> str:
+    """Let this session hand Python at most BATCH_ROWS rows at a time; returns what was set before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return before
+
+
+def restore_batches(spark: SparkSession, before: str) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def stage(df: DataFrame, codec: str | None = None) -> tuple[DataFrame, str]:
+    """Cut lineage: write to the shared folder and read back, which outlives executors; returns the folder too."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "llm")
+    (WRITTEN if _OPEN.get() is None else _OPEN.get()).append(path)
+    before = small_batches(spark)
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression=codec)
+    finally:
+        restore_batches(spark, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def materialize(df: DataFrame, codec: str | None = None) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back, which outlives executors."""
-    path = scratch_path(df.sparkSession, "llm")
-    df.write.parquet(path, compression=codec)
-    WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage(df, codec)[0]
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Stages written inside are deleted at the end. Yields ``keep``, which writes a frame that stays: it must be all that is read afterwards."""
+    own: list[str] = []
+    outer, kept = _OPEN.get(), []
+    token = _OPEN.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        df, path = stage(df)
+        kept.append(path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _OPEN.reset(token)
+        (WRITTEN if outer is None else outer).extend(kept)
+        delete([p for p in own if p not in kept])
 
 
 def delete(paths: list[str]) -> None:
@@ -40,14 +87,19 @@ def delete(paths: list[str]) -> None:
             WRITTEN.remove(path)
 
 
+atexit.register(lambda: delete(list(WRITTEN)))
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that other columns of the input can clash with nothing."""
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Mark a written table for broadcast if its counted rows times ``row_bytes`` stay within BROADCAST_BYTES; else leave it."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small(df: DataFrame, row_bytes: int, items: Column | None = None) -> DataFrame:
+    """Mark a written table for broadcast if its counted rows times ``row_bytes``, and 16 bytes for each of ``items`` in a row (the lengths of arrays and texts), stay
+    within BROADCAST_BYTES; else leave it. ``row_bytes`` is what Spark's hash table takes for a row: 8 bytes a column, and 32 for its key and place."""
+    n, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(items if items is not None else F.lit(0)), F.lit(0))).first()
+    return F.broadcast(df) if n * (row_bytes + 32) + 16 * held <= BROADCAST_BYTES else df
 
 
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from curvemill.llm import blocks as bl
 from curvemill.llm import textkit as tk
-from curvemill.llm.flow import materialize, offsets, only, small, whole_groups
+from curvemill.llm.flow import materialize, offsets, only, scratch, small, whole_groups
 from curvemill.llm.graph import components
 
 BANDS, ROWS, STEP, TOLERANCE = 24, 4, 16, 1e-5
@@ -140,7 +140,8 @@ def similar_documents(docs: DataFrame, threshold: float = tk.THRESHOLD, n: int =
 
 def keep_one(docs: DataFrame, threshold: float = tk.THRESHOLD, n: int = tk.SHINGLE) -> DataFrame:
     """``docs`` with one document of each component; of repeated rows (same id and text) one stays. A null id or text is a value like others."""
-    out = materialize(similar_documents(docs, threshold, n).where("not kept").select("nul", "d", "th").distinct())
+    with scratch() as keep:
+        out = keep(similar_documents(docs, threshold, n).where("not kept").select("nul", "d", "th").distinct())
     left = keyed(docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns if c in ("nul", "d", "th")})).join(small(out, 24), ["nul", "d", "th"], "left_anti")
     twice = materialize(left.groupBy("nul", "d", "th").count().where("count > 1").drop("count"))
     if twice.count():

@@ -21,7 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvemill.llm.flow import materialize, small
+from curvemill.llm.flow import materialize, scratch, small
 
 MAX_EPOCHS, SEED = 2, 17
 LEAF = ["domain", "lang", "source"]
@@ -133,7 +133,9 @@ def mix(docs: DataFrame, domain: Column, weights: Weights, total: Column, max_ep
     """
     clash = {c: f"_doc_{c}" for c in docs.columns if c in ("domain", "n_tokens", "epoch") or c in ("_id", "_dom", "_tokens", "_full", "_k", "_bin", "_key", "budget", "_domain", "_lang", "_source")}
     docs = docs.withColumnsRenamed(clash)
-    rows, plan = selection(docs, domain, weights, total, max_epochs, seed)
+    with scratch() as keep:
+        rows, plan = selection(docs, domain, weights, total, max_epochs, seed)
+        plan = keep(plan)
     rows = rows.join(small(plan.where("budget > 0"), 250), [f"_{n}" for n in LEAF]).withColumn("_k", key(seed))
     partly = F.col("_bin").isNull() | (bin_of(F.col("_k")) < F.col("_bin")) | ((bin_of(F.col("_k")) == F.col("_bin")) & (F.col("_k") <= F.coalesce("_key", F.lit(""))))
     # a leaf that is used up to the last token has no bin where it ends, and no next epoch

@@ -54,5 +54,5 @@ def lines(text):
     return out
 
 
-def chars(line, k=8):
+def chars(line, k=5):
     return {line} if len(line) < k else {line[i : i + k] for i in range(len(line) - k + 1)}

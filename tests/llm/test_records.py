@@ -1,5 +1,6 @@
 """Vectors, archives, URLs, quality, secrets and the pipeline."""
 
+import hashlib
 import io
 import math
 import random
@@ -194,3 +195,25 @@ def test_pipeline_stages(spark):
             clean = {r["doc_id"] for r in before if not any(s and len(s & plain.shingles(r["text"])) >= 0.8 * len(s) for s in items)}
             assert {r["doc_id"] for r in after} == clean and len(clean) < len(before)
         docs = out
+
+
+def test_two_runs_of_the_pipeline_leave_each_other_alone(spark):
+    first = corpus_pipeline.run(spark, SF)
+    n = first.count()
+    second = corpus_pipeline.run(spark, SF)
+    assert first.count() == n == second.count()
+    before = len(corpus_pipeline.flow.WRITTEN)
+    corpus_pipeline.release(second)
+    assert len(corpus_pipeline.flow.WRITTEN) < before and first.count() == n
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000
+
+
+def test_line_stage_on_a_text_of_many_lines(spark):
+    """100 000 lines, of which every second one repeats, and a digit changed in a line of 50 characters."""
+    many = "\n".join(hashlib.md5(str(i // 2 if i % 4 < 2 else i).encode()).hexdigest() for i in range(100_000))
+    base = "a short line that differs in one digit only, no 4 "
+    df = spark.createDataFrame([(1, many, 5), (2, base[:50], 5), (3, base.replace("4", "7")[:50], 5)], "doc_id long, text string, n_chars int")
+    rows = {r["doc_id"]: r for r in corpus_pipeline.line_dedup(spark, df, SF).collect()}
+    assert 2 in rows and 3 not in rows
+    kept = rows[1]["text"].split("\n")
+    assert 0 < len(kept) < 100_000 and len(set(kept)) == len(kept) and rows[1]["n_chars"] == len(rows[1]["text"])
