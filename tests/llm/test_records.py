@@ -209,10 +209,10 @@ def test_two_runs_of_the_pipeline_leave_each_other_alone(spark):
 
 
 def test_line_stage_on_a_text_of_many_lines(spark):
-    """100 000 lines, of which every second one repeats, and a digit changed in a line of 50 characters."""
+    """100 000 lines, of which every second one repeats, and a digit changed in a line of 80 characters."""
     many = "\n".join(hashlib.md5(str(i // 2 if i % 4 < 2 else i).encode()).hexdigest() for i in range(100_000))
-    base = "a short line that differs in one digit only, no 4 "
-    df = spark.createDataFrame([(1, many, 5), (2, base[:50], 5), (3, base.replace("4", "7")[:50], 5)], "doc_id long, text string, n_chars int")
+    base = "a line of eighty characters that differs from another one in one digit only, 4 !"
+    df = spark.createDataFrame([(1, many, 5), (2, base, 5), (3, base.replace("4", "7"), 5)], "doc_id long, text string, n_chars int")
     rows = {r["doc_id"]: r for r in corpus_pipeline.line_dedup(spark, df, SF).collect()}
     assert 2 in rows and 3 not in rows
     kept = rows[1]["text"].split("\n")
