@@ -1,24 +1,20 @@
-"""Discount of a detection statistic for the number of trials it was chosen from.
-
-Spark has neither erf nor a normal quantile, so this one scalar runs as a vectorised pandas UDF.
-"""
+"""Discount of a detection statistic for the number of trials it was chosen from."""
 
 from __future__ import annotations
 
 import math
-import sys
 from statistics import NormalDist
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from curvemill.functions import normal
+
 _NORMAL = NormalDist()
 
 
 def corrected(sde: float | None, trials: int | None) -> float | None:
-    """Sidak-corrected statistic, never above the raw one and never below 0."""
+    """Plain form: Sidak-corrected statistic, never above the raw one and never below 0."""
     if sde is None or trials is None or math.isnan(sde):
         return None
     if trials <= 1 or math.isinf(sde):
@@ -35,16 +31,6 @@ def corrected(sde: float | None, trials: int | None) -> float | None:
     return min(max(-_NORMAL.inv_cdf(pn), 0.0), sde)
 
 
-def look_elsewhere_sde(sde, trials) -> Column:
-    """Column form of ``corrected``."""
-
-    @F.pandas_udf("double")
-    def run(s: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([
-            corrected(None if pd.isna(a) else float(a), None if pd.isna(b) else int(b))
-            for a, b in zip(s, n)], dtype="float64")
-
-    return run(sde, trials)
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+def look_elsewhere_sde(sde: str, trials: str) -> Column:
+    """``corrected`` for two columns, as an expression."""
+    return F.expr(normal.spark().corrected(f"CAST({sde} AS DOUBLE)", f"CAST({trials} AS DOUBLE)"))

@@ -185,6 +185,35 @@ def stratified_sample(manifest: DataFrame, per_bin: int, strata=("mission", "bri
     return x.where(F.col("_r") <= per_bin).drop("_h", "_r")
 
 
+def hash_pick(n: Column, seed: int, *parts: Column) -> Column:
+    """A number from 0 to n - 1, the same on every engine: 32 bits of a hash of ``parts``, modulo n."""
+    text = F.concat_ws("#", *[p.cast("string") for p in parts], F.lit(str(seed)))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), n)
+
+
+def two_stage_draw(manifest: DataFrame, draws: int, strata=("brightness_bin",), seed: int = 0) -> DataFrame:
+    """``draws`` seeded draws with replacement, each first a stratum, all alike, then one of its targets: ``draw`` and the drawn row.
+
+    So faint strata of many targets come up no more often than bright ones of few. Rows without a stratum are drawn only if no row has one. The
+    draws are a table, joined to the ranked targets on (stratum, rank): nothing is drawn on the driver.
+    """
+    keys = list(strata)
+    named = F.lit(True)
+    for k in keys:
+        named &= F.col(k).isNotNull()
+    pool = manifest.where(named)
+    if pool.isEmpty():
+        keys, pool = ["_all"], manifest.withColumn("_all", F.lit(1))
+    ranked = grouped_row_number(pool, keys, {"h": hash_order(F.col("target"), seed), "k": F.col("target")}, name="_rank")
+    sizes = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    cen = census(sizes, ["_one"])
+    sizes = grouped_row_number(sizes, ["_one"], {k: F.col(k) for k in keys}, cen, name="_bin")
+    table = manifest.sparkSession.range(draws).select(F.col("id").alias("draw"))
+    table = table.withColumn("_bin", hash_pick(F.lit(cen.n_rows), seed, F.lit("bin"), F.col("draw")) + 1)
+    table = table.join(sizes, "_bin").withColumn("_rank", hash_pick(F.col("_n"), seed, F.lit("row"), F.col("draw")) + 1)
+    return table.drop("_bin", "_n", "_one").join(ranked, [*keys, "_rank"]).select("draw", *manifest.columns)
+
+
 def shared_targets(train: DataFrame, held_out: DataFrame) -> DataFrame:
     """Targets on both sides."""
     a, b = (d.where(F.col("target").isNotNull()).select("target") for d in (train, held_out))

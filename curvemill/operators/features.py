@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from curvemill import constants as K
 from curvemill.functions import columns as C
 from curvemill.operators.binning import trend_amplitude
-from curvemill.operators.kernels import grid_sums
+from curvemill.operators.kernels import array_sums
+from curvemill.operators.nufft import Grid
 from curvemill.operators.skew import Census, attach, census, grouped_quantiles
 
 KEY = ["target"]
@@ -164,25 +165,37 @@ def ls_grid(spark, n_freq: int) -> DataFrame:
     return spark.range(n_freq).select(F.col("id").cast("int").alias("k"), (F.col("id") * step + K.LS_FREQ_MIN).alias("f"))
 
 
+class TrigSums:
+    """Sums of cosines and sines of a curve's times, of their squares and products, and of their products with the centred flux."""
+
+    def __init__(self, n_freq: int):
+        step = (K.LS_FREQ_MAX - K.LS_FREQ_MIN) / (n_freq - 1)
+        self.once, self.twice = Grid(K.LS_FREQ_MIN, step, n_freq), Grid(2 * K.LS_FREQ_MIN, 2 * step, n_freq)
+        self.flux, self.n = Grid(K.LS_FREQ_MIN, step, n_freq), 0
+
+    def add(self, block) -> None:
+        t = block["t"].to_numpy()
+        self.once.add(t), self.twice.add(t), self.flux.add(t, block["flux"].to_numpy() - block["_y"].to_numpy())
+        self.n += len(t)
+
+    def arrays(self):
+        w, w2, y = self.once.sums(), self.twice.sums(), self.flux.sums()
+        return w.real, w.imag, (self.n + w2.real) / 2, w2.imag / 2, y.real, y.imag
+
+
 def lomb_scargle(lc: DataFrame, n_freq: int = K.LS_FREQ_COUNT, cen: Census | None = None) -> DataFrame:
     """Power on a linear frequency grid, floating mean, standard normalisation: ``(target, k, f, power)``.
 
-    Six sums per (target, frequency) are added up in arrays by ``grid_sums``; no sample meets a frequency as a row.
+    Six sums for each frequency come as arrays from non-uniform transforms (`nufft`): work follows samples plus frequencies, not their product.
     """
     cen = census(lc, KEY) if cen is None else cen
     mid = lc.groupBy("target").agg(F.avg("flux").alias("_y"), F.var_pop("flux").alias("yy"))
     step = (K.LS_FREQ_MAX - K.LS_FREQ_MIN) / (n_freq - 1)
-    low = K.LS_FREQ_MIN
-
-    def kernel(g):
-        t, y = g["t"].to_numpy(), g["flux"].to_numpy() - g["_y"].to_numpy()
-        angle = np.multiply.outer(t, (np.arange(n_freq) * step + low)) * (2.0 * math.pi)
-        c, s = np.cos(angle), np.sin(angle)
-        return c.sum(0), s.sum(0), np.einsum("ij,ij->j", c, c), np.einsum("ij,ij->j", c, s), y @ c, y @ s
-
     x = attach(lc.select("target", "t", "flux").where("t is not null and flux is not null"), mid, KEY, cen)
     names = ["mc", "ms", "cc", "cs", "yc", "ys"]
-    g = grid_sums(x, kernel, n_freq, names, cen, ["yy"]).withColumn("f", F.col("k") * step + K.LS_FREQ_MIN)
+    g = array_sums(x, lambda: TrigSums(n_freq), names, cen, ["yy"])
+    g = g.select("target", "n", "yy", F.posexplode(F.arrays_zip(*names)).alias("k", "_s")).select("target", "n", "yy", "k", "_s.*")
+    g = g.withColumn("f", F.col("k") * step + K.LS_FREQ_MIN)
     g = g.withColumns({c: F.col(c) / F.col("n") for c in names})
     cc = F.col("cc") - F.col("mc") * F.col("mc")
     ss = (1.0 - F.col("cc")) - F.col("ms") * F.col("ms")

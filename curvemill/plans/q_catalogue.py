@@ -186,6 +186,20 @@ def stratified_sample(spark, sf):
     return cat.stratified_sample(m, 40, seed=17).select("target", "mission", "brightness_bin")
 
 
+_PICK = "CAST('0x' || substr(md5('{part}#' || draw || '#5'), 1, 8) AS BIGINT)"
+
+
+@query("two_stage_draw", ctes("manifest", more=BINNED) + f"""
+, m AS (SELECT *, row_number() OVER (PARTITION BY brightness_bin ORDER BY md5(target || '#5'), target) AS rank, count(*) OVER (PARTITION BY brightness_bin) AS n FROM binned WHERE brightness_bin IS NOT NULL),
+b AS (SELECT brightness_bin, row_number() OVER (ORDER BY brightness_bin) AS bin, count(*) OVER () AS bins FROM (SELECT DISTINCT brightness_bin FROM m)),
+d AS (SELECT draw, {_PICK.format(part="bin")} AS x, {_PICK.format(part="row")} AS y FROM (SELECT DISTINCT CAST(substr(target, 5) AS BIGINT) AS draw FROM manifest))
+SELECT draw, target, mission, brightness_bin FROM d JOIN b ON b.bin = d.x % b.bins + 1 JOIN m USING (brightness_bin) WHERE m.rank = d.y % m.n + 1""")
+def two_stage_draw(spark, sf):
+    """As many draws as the manifest has targets, which are numbered from 0."""
+    m = binned(spark, sf)
+    return cat.two_stage_draw(m, m.count(), seed=5).select("draw", "target", "mission", "brightness_bin")
+
+
 @query("stratified_split", ctes("koi", more=LABELLED) + """
 , r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(row_id || '#0'), row_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM labelled)
 SELECT row_id, label, CASE WHEN rn <= ceil(n * 6.0E-1) THEN 'train' WHEN rn <= ceil(n * 8.0E-1) THEN 'cal' ELSE 'test' END AS split FROM r""")

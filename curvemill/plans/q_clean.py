@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from curvemill import constants as K
 from curvemill.functions import columns as C
+from curvemill.functions import normal
 from curvemill.functions.look_elsewhere import look_elsewhere_sde
 from curvemill.operators import binning, clean
 from curvemill.operators.skew import attach, census
@@ -265,7 +266,9 @@ def trapezoid_eval(spark, sf):
     return x.select("target", C.rd("t", 8).alias("t"), C.rd(m).alias("model"))
 
 
-@query("look_elsewhere_sde")
+@query("look_elsewhere_sde", ctes("det_user") + f"""
+, x AS (SELECT target, sde, CAST(trunc(sde * 2) AS INT) - 9 AS trials FROM det_user)
+SELECT target, round(sde, 6) AS sde, trials, round({normal.duck().corrected("sde", "trials")}, 6) AS sde_corrected FROM x""")
 def look_elsewhere(spark, sf):
     d = view(spark, sf, "det_user").withColumn("trials", (F.col("sde") * 2).cast("int") - 9)
     return d.select("target", C.rd("sde").alias("sde"), "trials", C.rd(look_elsewhere_sde("sde", "trials")).alias("sde_corrected"))

@@ -194,3 +194,34 @@ def test_look_elsewhere(spark):
     df = spark.createDataFrame([(8.0, 2), (None, 2)], "s double, n int")
     got = [r[0] for r in df.select(look_elsewhere_sde("s", "n")).collect()]
     assert got[0] == pytest.approx(corrected(8.0, 2)) and got[1] is None
+    grid = [(float(z), n) for z in [*np.linspace(-6, 12, 73), 37.0, 40.0, math.inf] for n in (0, 1, 2, 50, 240_000)] + [(math.nan, 2)]
+    df = spark.createDataFrame([(i, z, n) for i, (z, n) in enumerate(grid)], "i int, s double, n int")
+    for r in df.select("s", "n", look_elsewhere_sde("s", "n").alias("x")).collect():
+        want = corrected(r["s"], r["n"])
+        assert (r["x"] is None) == (want is None) and (want is None or r["x"] == pytest.approx(want, rel=1e-9, abs=1e-9)), r
+
+
+def test_nufft_against_direct_sums():
+    from curvemill.operators.nufft import Grid
+    rng = np.random.default_rng(2)
+    for n, rows in ((4000, 3000), (2001, 40), (3, 100), (1, 5)):
+        t, y, step = rng.uniform(0, 30, rows), rng.normal(0, 1, rows), 4.95 / max(1, n - 1)
+        g = Grid(0.05, step, n)
+        g.add(t[: rows // 2], y[: rows // 2]), g.add(t[rows // 2 :], y[rows // 2 :])
+        some = np.arange(0, n, max(1, n // 60))
+        direct = (y[:, None] * np.exp(2j * np.pi * np.multiply.outer(t, 0.05 + some * step))).sum(0)
+        assert np.abs(g.sums()[some] - direct).max() < 1e-9 * np.sqrt(rows)
+
+
+def test_periodogram_power_of_sliced_and_whole_curves(spark, monkeypatch):
+    from curvemill.operators import features, kernels
+    from curvemill.operators.skew import census
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.uniform(0, 27, 900))
+    lc = curve(spark, t, 1 + 0.3 * np.sin(2 * np.pi * t * 0.7) + rng.normal(0, 0.1, 900))
+    whole = {r["k"]: r["power"] for r in features.lomb_scargle(lc, 400).collect()}
+    monkeypatch.setattr(kernels, "GROUP_ROWS", 100)
+    cut = {r["k"]: r["power"] for r in features.lomb_scargle(lc, 400, census(lc, ["target"], 100)).collect()}
+    assert set(whole) == set(range(400)) and all(whole[k] == pytest.approx(cut[k], rel=1e-8, abs=1e-10) for k in whole)
+    y = np.array([whole[k] for k in range(400)])
+    assert abs(0.05 + y.argmax() * 4.95 / 399 - 0.7) < 0.02 and 0.5 < y.max() <= 1

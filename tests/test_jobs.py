@@ -147,3 +147,15 @@ def test_compare_schemas(spark):
     models = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b"]), (3, ["b", "a", "c"]), (4, ["a", "b", "c", "z"]), (5, [])], "model int, features array<string>")
     got = {r["model"]: (r["features"], r["missing"], r["extra"], r["accepted"]) for r in classify.compare_schemas(models, table, ["a", "b", "c", "z"]).collect()}
     assert got == {1: (3, [], [], True), 2: (2, ["c"], [], False), 3: (3, [], [], False), 4: (4, [], ["z"], False), 5: (0, ["a", "b", "c"], [], False)}
+
+
+def test_two_stage_draw_takes_bins_alike(spark):
+    rows = [(f"s{i}", "bright" if i < 5 else "faint") for i in range(500)] + [("x", None)]
+    m = spark.createDataFrame(rows, "target string, brightness_bin string")
+    got = cat.two_stage_draw(m, 2000, seed=3).toPandas()
+    n = got["brightness_bin"].value_counts()
+    assert len(got) == 2000 and got["draw"].nunique() == 2000 and abs(n["bright"] - 1000) < 120 and "x" not in set(got["target"])
+    assert set(got.loc[got["brightness_bin"] == "bright", "target"]) == {f"s{i}" for i in range(5)}
+    alike = cat.two_stage_draw(m.where("target = 'x'"), 7)
+    assert [r["target"] for r in alike.collect()] == ["x"] * 7
+    assert cat.two_stage_draw(m.where("false"), 7).count() == 0
