@@ -215,7 +215,7 @@ def fit_reliable(converged="converged", chi2="chi2_red") -> Column:
 
 
 def caution(label="label", converged="converged", chi2="chi2_red") -> Column:
-    """A geometric label contradicted by a converged fit that does not describe the data."""
+    """A geometric label whose fit converged to a reduced chi-square beyond the limit."""
     c = lit_or_col(chi2)
     return F.coalesce(lit_or_col(label).isin(K.GEOMETRIC_CLASSES) & lit_or_col(converged)
                       & is_finite(c) & ~(c < K.CHI2_RELIABLE_MAX), F.lit(False))
@@ -228,5 +228,5 @@ def caution_reason(label="label", converged="converged", chi2="chi2_red", confid
                         lit_or_col(chi2), F.lit(K.CHI2_RELIABLE_MAX), lit_or_col(label)),
         F.when(conf.isNotNull() & (conf != 0), F.format_string(" at %.0f%% confidence", conf * 100.0))
         .otherwise(F.lit("")),
-        F.lit("; treat the parameters of this fit as unknown"))
+        F.lit("; do not use the fitted values"))
     return F.when(caution(label, converged, chi2), text)

@@ -280,8 +280,8 @@ def vet_baselines(lc: DataFrame, det: DataFrame, minimum: int = K.MIN_POINTS_ING
     size = lc.groupBy("target").agg(F.count(F.lit(1)).alias("n_points"), (F.max("t") - F.min("t")).alias("baseline_days"))
     x = attach(attach(size, robust_scatter(lc, cen=cen), KEY, cen), cadence(lc, cen), KEY, cen, "left")
     x = attach(x, det.select("target", "sde"), KEY, cen, "left")
-    error = (F.when(F.col("n_points") < minimum, F.lit("too few points"))
-             .when(F.col("sde") >= K.SDE_THRESHOLD, F.format_string("rejected: the search found a signal (SDE %.1f)", "sde")))
+    error = (F.when(F.col("n_points") < minimum, F.lit("under the least number of samples"))
+             .when(F.col("sde") >= K.SDE_THRESHOLD, F.format_string("not quiet: a dip of SDE %.1f", "sde")))
     x = x.withColumn("error", error).withColumn("accepted", F.col("error").isNull())
     keep = F.col("accepted")
     return x.select("target", "accepted", "sde", "error", *[F.when(keep, c).alias(n) for n, c in {

@@ -237,12 +237,12 @@ def compare_regimes(synthetic: DataFrame, injected: DataFrame, real: DataFrame,
     mixed = injected.where(F.col("label") != "variable").select(*cols).unionByName(real_train.where(F.col("label") == "variable").select(*cols))
     both = mixed.unionByName(real_train.where(F.col("label") != "variable").select(*cols))
     rows = [
-        ("synthetic self-test", self_test(synthetic, classes, key, **options)),
-        ("synthetic -> real", evaluate_on(train(synthetic, classes, **options), real_test, classes)),
-        ("injected self-test", self_test(mixed, classes, key, **options)),
-        ("injected -> real", evaluate_on(train(mixed, classes, **options), real_test, classes)),
-        ("real -> real", evaluate_on(train(real_train, classes, **options), real_test, classes)),
-        ("injected + real -> real", evaluate_on(train(both, classes, **options), real_test, classes)),
+        ("made, own", self_test(synthetic, classes, key, **options)),
+        ("made, on real", evaluate_on(train(synthetic, classes, **options), real_test, classes)),
+        ("planted, own", self_test(mixed, classes, key, **options)),
+        ("planted, on real", evaluate_on(train(mixed, classes, **options), real_test, classes)),
+        ("real, on real", evaluate_on(train(real_train, classes, **options), real_test, classes)),
+        ("planted and real, on real", evaluate_on(train(both, classes, **options), real_test, classes)),
     ]
     out = None
     for i, (name, r) in enumerate(rows):
@@ -257,8 +257,8 @@ def regime_gaps(table: DataFrame) -> DataFrame:
 
     def acc(name):
         return F.max(F.when(F.col("regime") == name, F.col("accuracy")))
-    x = table.agg((acc("synthetic self-test") - acc("synthetic -> real")).alias("gap_synthetic"), (acc("injected self-test") - acc("injected -> real")).alias("gap_injected"),
-                  acc("synthetic -> real").alias("_a"), acc("injected -> real").alias("_b"), F.max(F.when(F.col("regime") == "real -> real", F.col("n"))).alias("n"))
+    x = table.agg((acc("made, own") - acc("made, on real")).alias("gap_synthetic"), (acc("planted, own") - acc("planted, on real")).alias("gap_injected"),
+                  acc("made, on real").alias("_a"), acc("planted, on real").alias("_b"), F.max(F.when(F.col("regime") == "real, on real", F.col("n"))).alias("n"))
     d, lo, hi, sig = C.accuracy_difference("_a", "_b", "n")
     return x.select("gap_synthetic", "gap_injected", (F.col("gap_synthetic") - F.col("gap_injected")).alias("gap_closed"), d.alias("change"), lo.alias("low"), hi.alias("high"), sig.alias("distinguishable"))
 

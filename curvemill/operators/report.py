@@ -21,4 +21,4 @@ def fit_warning(chi2="chi2_red", converged="converged") -> Column:
     """Warning for a converged fit above the reliability threshold."""
     c = F.col(chi2)
     return F.when(F.col(converged) & ~F.coalesce(c < K.CHI2_RELIABLE_MAX, F.lit(False)), F.format_string(
-        "reduced chi-square %.1f exceeds %.1f: the dip model does not describe the data", c, F.lit(K.CHI2_RELIABLE_MAX)))
+        "poor fit: reduced chi-square %.1f, limit %.1f", c, F.lit(K.CHI2_RELIABLE_MAX)))

@@ -108,23 +108,27 @@ def segment_pick(spark, sf):
     return cat.pick_segments(view(spark, sf, "obs"), choice, F.col("obsid"), 2).select("target", "obsid")
 
 
-@query("stitch_segments", ctes("lc_user") + """
-SELECT target, count(*) AS n, round(min(t), 6) AS first_t, round(max(t), 6) AS last_t, round(sum(flux), 4) AS total FROM lc_user WHERE t < 7 OR (t >= 14 AND t < 21) OR t >= 28 GROUP BY target""")
-def stitch_segments(spark, sf):
-    lc = view(spark, sf, "lc_user")
-    parts = [lc.where(F.col("t") < 7), lc.where((F.col("t") >= 14) & (F.col("t") < 21)), lc.where(F.col("t") >= 28)]
+_STITCHED = ctes("lc_user") + """
+SELECT target, count(*) AS n, round(min(t), 6) AS first_t, round(max(t), 6) AS last_t, round(sum(flux), 4) AS total FROM lc_user GROUP BY target"""
+
+
+def _stitched(parts):
     return cat.stitch(*parts).groupBy("target").agg(
         F.count(F.lit(1)).alias("n"), C.rd(F.min("t")).alias("first_t"), C.rd(F.max("t")).alias("last_t"), C.rd(F.sum("flux"), 4).alias("total"))
 
 
-@query("stitch_segments_whole", ctes("lc_user") + """
-SELECT target, count(*) AS n, round(min(t), 6) AS first_t, round(max(t), 6) AS last_t, round(sum(flux), 4) AS total FROM lc_user GROUP BY target""")
-def stitch_segments_whole(spark, sf):
+@query("stitch_segments", _STITCHED)
+def stitch_segments(spark, sf):
     """Adjoining segments, and samples without a time in the first: stitched, they hold every row."""
     lc, t = view(spark, sf, "lc_user"), F.col("t")
-    parts = [lc.where((t < 7) | t.isNull()), *[lc.where((t >= a) & (t < a + 7)) for a in (7, 14, 21)], lc.where(t >= 28)]
-    return cat.stitch(*parts).groupBy("target").agg(
-        F.count(F.lit(1)).alias("n"), C.rd(F.min("t")).alias("first_t"), C.rd(F.max("t")).alias("last_t"), C.rd(F.sum("flux"), 4).alias("total"))
+    return _stitched([lc.where((t < 7) | t.isNull()), *[lc.where((t >= a) & (t < a + 7)) for a in (7, 14, 21)], lc.where(t >= 28)])
+
+
+@query("stitch_segments_whole", _STITCHED)
+def stitch_segments_whole(spark, sf):
+    """The same from three segments, the middle one long."""
+    lc, t = view(spark, sf, "lc_user"), F.col("t")
+    return _stitched([lc.where((t < 3) | t.isNull()), lc.where((t >= 3) & (t < 25)), lc.where(t >= 25)])
 
 
 # -- rows and errors ----------------------------------------------------------------------------------------
@@ -281,7 +285,7 @@ def failure_reasons(spark, sf):
 VET = """m AS (SELECT target, count(*) AS n, max(t) - min(t) AS span, median(flux) AS med FROM lc_user GROUP BY target),
 g AS (SELECT target, flux, t - lag(t) OVER (PARTITION BY target ORDER BY t) AS dt FROM lc_user),
 v AS (SELECT target, any_value(n) AS n, any_value(span) AS span, median(dt) AS cad, 1.4826E0 * median(abs(flux - med)) AS sigma FROM g JOIN m USING (target) GROUP BY target),
-vet AS (SELECT target, sde, n, span, cad, sigma, CASE WHEN n < 60 THEN 'too few points' WHEN sde >= 7 THEN printf('rejected: the search found a signal (SDE %.1f)', sde) END AS error FROM v JOIN det_user USING (target))"""
+vet AS (SELECT target, sde, n, span, cad, sigma, CASE WHEN n < 60 THEN 'under the least number of samples' WHEN sde >= 7 THEN printf('not quiet: a dip of SDE %.1f', sde) END AS error FROM v JOIN det_user USING (target))"""
 
 
 @query("baseline_vetting", ctes("lc_user", "det_user", more=VET) + """

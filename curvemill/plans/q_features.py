@@ -280,7 +280,7 @@ cw AS (SELECT *, coalesce(label <> 'variable' AND converged AND isfinite(chi2) A
 
 
 @query("caution_flag", ctes("recovery", more=CAUTION) + """
-SELECT seed, k, label, caution, CASE WHEN caution THEN printf('reduced chi-square %.1f is above 3, yet the label is ''%s''; treat the parameters of this fit as unknown', floor(chi2), label) END AS reason FROM cw""")
+SELECT seed, k, label, caution, CASE WHEN caution THEN printf('reduced chi-square %.1f is above 3, yet the label is ''%s''; do not use the fitted values', floor(chi2), label) END AS reason FROM cw""")
 def caution_flag(spark, sf):
     r = view(spark, sf, "recovery")
     chi2 = F.abs(F.col("fit_depth") - F.col("true_depth")) / F.when(F.col("fit_depth_err") > 0, F.col("fit_depth_err"))
