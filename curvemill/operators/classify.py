@@ -8,13 +8,13 @@ from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvemill import constants as K
 from curvemill.operators import catalogue as cat
 from curvemill.operators import evaluate as ev
+from curvemill.operators import isotonic
 from curvemill.operators.clean import inf_to_null
 from curvemill.session import materialize
 
@@ -53,16 +53,27 @@ def train(df: DataFrame, classes: list[str], seed: int = 0, trees: int = 20, dep
     return Pipeline(stages=[*_stages(names), est]).fit(x)
 
 
+def _probabilities(model: PipelineModel, df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with ``p``, the class probabilities of a forest, or those of one boosted model for each class, made to sum to 1."""
+    keep, out = df.columns, model.transform(inf_to_null(df, names))
+    if "probability" in out.columns:
+        return out.select(*keep, vector_to_array("probability").alias("p"))
+    # a boosted model's margin m has the probability 1 / (1 + exp(-2 m))
+    each = F.transform(vector_to_array("rawPrediction"), lambda m: F.lit(1.0) / (1.0 + F.exp(m * -2.0)))
+    out = out.select(*keep, each.alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return out.withColumn("p", F.transform("p", lambda x: x / total))
+
+
 def score(model: PipelineModel, df: DataFrame, classes: list[str], names: list[str] = K.FEATURE_NAMES) -> DataFrame:
-    """Add the probability array ``p`` and label, confidence, map. Row columns are kept."""
-    keep = df.columns
-    out = model.transform(inf_to_null(df, names))
-    return ev.predict(out.select(*keep, vector_to_array("probability").alias("p")), classes)
+    """Add the probability array ``p`` and label, confidence, map. Row columns are kept. ``model`` is a forest or a boosted one."""
+    return ev.predict(_probabilities(model, df, names), classes)
 
 
 # -- calibration -----------------------------------------------------------------------------------------------
 
 class Calibrator(NamedTuple):
+    """``parts``, one for each class: slope and intercept (sigmoid), or knots and values of a rising line (isotonic)."""
     method: str
     parts: list
 
@@ -76,7 +87,7 @@ def _fit_calibrator(scored: DataFrame, method: str, k: int) -> Calibrator:
                                  LogisticRegression(featuresCol="v", labelCol="z", maxIter=30)]).fit(x).stages[-1]
             parts.append((float(m.coefficients[0]), float(m.intercept)))
         else:
-            parts.append(IsotonicRegression(featuresCol="x", labelCol="z").fit(x))
+            parts.append(isotonic.knots(isotonic.fit(x)))
     return Calibrator(method, parts)
 
 
@@ -84,14 +95,13 @@ def apply_calibrator(cal: Calibrator | None, scored: DataFrame) -> DataFrame:
     """Calibrate each class's score, then renormalise; a row of zeros becomes uniform."""
     if cal is None:
         return scored
-    x, k = scored, len(cal.parts)
+    k = len(cal.parts)
     if cal.method == "sigmoid":
         cols = [1.0 / (1.0 + F.exp(-(F.col("p")[c] * a + b))) for c, (a, b) in enumerate(cal.parts)]
     else:
-        for c, m in enumerate(cal.parts):
-            x = x.withColumn("_x", F.col("p")[c])
-            x = m.copy().setFeaturesCol("_x").setPredictionCol(f"_q{c}").transform(x).drop("_x")
-        cols = [F.col(f"_q{c}") for c in range(k)]
+        cols = [isotonic.interpolate(F.col("p")[c], x, v) for c, (x, v) in enumerate(cal.parts)]
+    x = scored.withColumns({f"_q{c}": q for c, q in enumerate(cols)})
+    cols = [F.col(f"_q{c}") for c in range(k)]
     total = cols[0]
     for c in cols[1:]:
         total = total + c
@@ -160,24 +170,33 @@ def drivers(model: PipelineModel, df: DataFrame, key: str, classes: list[str], t
     x = base.select(key, *names, "y_pred", F.element_at("p", F.col("y_pred") + 1).alias("_p0"))
     x = x.withColumn("_j", F.explode(F.array(*[F.lit(i) for i in range(len(names))])))
     x = x.withColumns({n: F.when(F.col("_j") == i, F.lit(float(med[n]))).otherwise(F.col(n)) for i, n in enumerate(names)})
-    out = model.transform(x).select(key, "_j", (F.col("_p0") - F.element_at(vector_to_array("probability"), F.col("y_pred") + 1)).alias("v"))
+    out = _probabilities(model, x, names).select(key, "_j", (F.col("_p0") - F.element_at("p", F.col("y_pred") + 1)).alias("v"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_j") + 1)
     g = out.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.abs("v")).alias("o"), F.col("_j").alias("j"), name.alias("name"), F.col("v").alias("value")))).alias("_d"))
     return g.select(key, F.transform(F.slice("_d", 1, top), lambda d: F.struct(d["name"].alias("name"), d["value"].alias("value"))).alias("drivers"))
 
 
 def importances(model: PipelineModel, spark, names: list[str] = K.FEATURE_NAMES) -> DataFrame:
-    """Features by importance, the missing-value flag counted with its feature."""
-    v = model.stages[-1].featureImportances
-    rows = [(n, float(v[i] + v[i + len(names)])) for i, n in enumerate(names)]
+    """Features by importance, the missing-value flag counted with its feature; of a boosted model the mean over its classes."""
+    last = model.stages[-1]
+    each = [m.featureImportances for m in (last.models if hasattr(last, "models") else [last])]
+    rows = [(n, sum(float(v[i] + v[i + len(names)]) for v in each) / len(each)) for i, n in enumerate(names)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
 
 # -- persistence ---------------------------------------------------------------------------------------------------
 
-def save(model: PipelineModel, path: str, classes: list[str], spark, names: list[str] = K.FEATURE_NAMES) -> None:
+_CALIBRATION = "class int, method string, x array<double>, v array<double>"
+
+
+def save(model: PipelineModel, path: str, classes: list[str], spark, names: list[str] = K.FEATURE_NAMES, calibrator: Calibrator | None = None) -> None:
+    """Model, names and calibrator below ``path``."""
     model.write().overwrite().save(f"{path}/model")
     spark.createDataFrame([(names, classes)], "features array<string>, classes array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
+    parts = []
+    if calibrator is not None:
+        parts = [(c, calibrator.method, *(([a], [b]) if calibrator.method == "sigmoid" else (a, b))) for c, (a, b) in enumerate(calibrator.parts)]
+    spark.createDataFrame(parts, _CALIBRATION).coalesce(1).write.mode("overwrite").parquet(f"{path}/calibrator")
 
 
 def load(path: str, spark) -> tuple[PipelineModel, list[str], list[str]]:
@@ -185,6 +204,15 @@ def load(path: str, spark) -> tuple[PipelineModel, list[str], list[str]]:
     return PipelineModel.load(f"{path}/model"), list(row["features"]), list(row["classes"])
 
 
+def load_calibrator(path: str, spark) -> Calibrator | None:
+    """The calibrator saved with a model; None if it had none."""
+    rows = spark.read.schema(_CALIBRATION).parquet(f"{path}/calibrator").orderBy("class").collect()
+    if not rows:
+        return None
+    method = rows[0]["method"]
+    return Calibrator(method, [(r["x"][0], r["v"][0]) if method == "sigmoid" else (list(r["x"]), list(r["v"])) for r in rows])
+
+
 def check_schema(features: list[str], expected: list[str] = K.FEATURE_NAMES) -> None:
     """Refuse a model whose features are not the code's, in order."""
     if list(features) != list(expected):
