@@ -205,7 +205,7 @@ def stream_incremental_features(spark, sf):
     late = F.coalesce(F.col("t") >= 14.0, F.lit(True))
     for part in (~late, late):
         writers.append_shard(lc.where(part), src)
-        q = inc.incremental(spark, src, readers.CURVE_SCHEMA, lambda b: clean.robust_scatter(b), out, ckpt)
+        q = inc.incremental(spark, src, readers.CURVE_SCHEMA, lambda b: clean.robust_scatter(b), out, ckpt, buckets=16)
         q.awaitTermination()
     got = inc.latest(spark, out)
     return got.select("target", C.rd("med", 8).alias("med"), C.rd("sigma", 8).alias("sigma"))

@@ -2,46 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
 
 from curvemill.functions import columns as C
 from curvemill.operators.skew import first_per_key
+from curvemill.streaming.buckets import BUCKETS, BucketStore
 
 
 def incremental(spark: SparkSession, source: str, schema: T.StructType, fn: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
-                max_files: int | None = None, every: str | None = None):
+                max_files: int | None = None, every: str | None = None, buckets: int = BUCKETS):
     """Keep one row of ``fn`` per target up to date while files arrive; read them with ``latest``.
 
     A micro-batch stores its samples, and ``fn`` runs over all samples, of this batch and earlier ones, of the targets that it touches. So a
-    target whose samples come in several files, batches or runs has a right row. Each micro-batch owns its folders and overwrites them: one
-    that is run again after a kill is not counted twice. ``every`` (such as "60 seconds") keeps the job alive; without it the job ends when all
-    present files are done.
+    target whose samples come in several files, batches or runs has a right row. Samples and rows are dealt into buckets by target: a batch reads those that it touches, sorted by target,
+    and no others, and their folders are merged as they add up (`BucketStore`). A batch that is run again after a kill is not counted twice. ``every`` (such as "60 seconds")
+    keeps the job alive; without it the job ends when all present files are done.
     """
     read = spark.readStream.schema(schema)
     if max_files:
         read = read.option("maxFilesPerTrigger", max_files)
+    samples = BucketStore(spark, f"{out}/samples", schema, buckets)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/samples/batch={number}")
-        stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{out}/samples")
-        touched = stored.where(F.col("batch") == number).select("target").distinct()
-        known = stored.where(F.col("batch") <= number).drop("batch").join(touched, "target", "left_semi")
-        fn(known).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        touched = samples.write(batch, number)
+        if not touched:
+            return
+        own = samples.read([f for f in samples.folders(touched) if f[1] == f[2] == number]).select("target").distinct()
+        known = samples.read(samples.live(touched, number)).join(own, "target", "left_semi")
+        rows = fn(known).withColumn("made_in", F.lit(number).cast("long"))
+        BucketStore(spark, f"{out}/rows", rows.schema, buckets).write(rows, number, _newest)
 
     job = read.parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     job = job.trigger(processingTime=every) if every else job.trigger(availableNow=True)
     return job.start()
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    return first_per_key(rows, ["target"], [-F.col("made_in")])
+
+
 def latest(spark: SparkSession, out: str) -> DataFrame:
     """The row of each target from the last batch that touched it."""
-    rows = spark.read.parquet(f"{out}/rows")
-    return first_per_key(rows, ["target"], [-F.col("batch")]).drop("batch")
+    names = BucketStore(spark, f"{out}/rows", T.StructType([]))
+    folders = names.live()
+    schema = spark.read.parquet(folders[0][3]).schema
+    return _newest(BucketStore(spark, f"{out}/rows", schema).read(folders)).drop("made_in")
 
 
 def merge_settled(df: DataFrame) -> DataFrame:
@@ -50,24 +63,44 @@ def merge_settled(df: DataFrame) -> DataFrame:
     return first_per_key(df, ["target"], order)
 
 
-def new_attempts(batch: DataFrame, store: DataFrame) -> DataFrame:
-    """The batch, one row per target, without targets settled in the store."""
-    done = store.where(C.settled()).select("target").distinct()
-    return merge_settled(batch).join(done, "target", "left_anti")
+def _keep_best(columns: list[str]):
+    """The best attempt of a target so far is its state; rows of a settled one are ignored. Returns a row when the best one changes."""
+    order = ["_failed", "_open", "seed", "shard", "label_idx"]
+
+    def rank(row: tuple) -> tuple:
+        # nulls first, as in Spark's order
+        return tuple((v is not None, v) if v is not None else (False, 0) for v in (row[(columns + order[:2]).index(c)] for c in order))
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = before = state.get if state.exists else None
+        if best is not None and not best[len(columns) + 1]:
+            return
+        for f in frames:
+            for row in f[columns + order[:2]].astype(object).where(f.notna(), None).itertuples(index=False, name=None):
+                if best is None or rank(row) < rank(best):
+                    best = row
+        if best is not None and best is not before:
+            state.update(best)
+            yield pd.DataFrame([best[: len(columns)]], columns=columns)
+
+    return run
 
 
 def settled_store(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str):
     """Add new attempts to an append-only store, skipping targets settled earlier. Read the store through
-    ``merge_settled``."""
+    ``merge_settled``.
+
+    What is known of a target is the state of the stream, one row, so a batch reads nothing of the store. For more targets than executors hold in memory, choose RocksDB as the
+    session's state store.
+    """
+    rows = spark.readStream.schema(schema).parquet(source).withColumns({"_failed": F.col("error").isNotNull(), "_open": ~C.settled()})
+    state = T.StructType([*schema.fields, T.StructField("_failed", T.BooleanType()), T.StructField("_open", T.BooleanType())])
+    best = rows.groupBy("target").applyInPandasWithState(_keep_best(schema.names), schema, state, "update", "NoTimeout")
+
     def write(batch: DataFrame, number: int) -> None:
-        kept = spark.createDataFrame([], schema)
-        # a batch that is run again must not see its own earlier output
-        try:
-            kept = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out).where(F.col("batch") < number)
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":  # nothing stored so far
-                raise
-        new_attempts(batch, kept).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return (spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return best.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -98,6 +98,38 @@ def test_incremental_rows_are_right_for_targets_in_several_batches(spark):
     assert got == {r["target"]: (r["n"], r["s"]) for r in count(lc).collect()}
 
 
+def test_incremental_batch_reads_only_its_buckets(spark, monkeypatch):
+    """Twelve batches: the files of a batch do not grow with their number, and rows stay right through merged folders."""
+    from curvemill.streaming import buckets
+    src, out, ckpt = (scratch_path(spark, n) for n in ("in", "rows", "ck"))
+    monkeypatch.setattr(buckets, "FOLDERS", 3)
+    seen = []
+    count = lambda b: (seen.append(len(b.inputFiles())), b.groupBy("target").agg(F.count("t").alias("n"), F.sum("flux").alias("s")))[1]
+    rows = []
+    for n in range(12):
+        rows += [(f"T{i % 3 if n else i}", n + i / 10, float(i * n % 7), 0.1, 0) for i in range(40)]
+        writers.append_shard(spark.createDataFrame(rows[-40:], readers.CURVE_SCHEMA).coalesce(1), src)
+        inc.incremental(spark, src, readers.CURVE_SCHEMA, count, out, ckpt, buckets=16).awaitTermination()
+    got = {r["target"]: (r["n"], r["s"]) for r in inc.latest(spark, out).collect()}
+    want = {r["target"]: (r["n"], r["s"]) for r in count(spark.createDataFrame(rows, readers.CURVE_SCHEMA)).collect()}
+    assert got == want and len(got) == 40
+    # the first batch touches all buckets, the others those of three targets, with at most four folders in each beside the batch's own
+    assert seen[0] >= 10 and max(seen[1:12]) <= 3 * 6
+    store = buckets.BucketStore(spark, f"{out}/samples", readers.CURVE_SCHEMA, 16)
+    assert len(store.folders()) < 16 + 3 * 12 and store.read(store.live()).count() == len(rows)
+
+
+def test_settled_stream_does_not_read_its_store(spark):
+    src, out, ckpt = (scratch_path(spark, n) for n in ("in", "out", "ck"))
+    for seed, error in ((5, "Timeout"), (3, "Timeout"), (4, None), (1, None)):
+        writers.append_shard(spark.createDataFrame([("a", 0, 1, seed, error), ("b", None, None, seed, "no detection (SDE 3)" if seed == 3 else "Timeout")], ATTEMPT), src)
+        q = inc.settled_store(spark, src, ATTEMPT, out, ckpt)
+        q.awaitTermination()
+        assert out not in str(q.lastProgress["sources"]) and len(q.lastProgress["sources"]) == 1
+    got = {r["target"]: (r["seed"], r["error"]) for r in inc.merge_settled(spark.read.parquet(out)).collect()}
+    assert got == {"a": (4, None), "b": (3, "no detection (SDE 3)")}
+
+
 def test_second_run_adds_nothing(spark):
     src, out, ckpt = (scratch_path(spark, n) for n in ("in", "out", "ck"))
     writers.append_shard(spark.createDataFrame([("a", 0, 1, 1, None), ("b", 0, 1, 1, "Timeout")], ATTEMPT), src)
