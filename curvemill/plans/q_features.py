@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curvemill import constants as K
 from curvemill.functions import columns as C
 from curvemill.operators import clean, features, fit
-from curvemill.operators.skew import attach, census
+from curvemill.operators.skew import attach, census, grouped_quantiles
 from curvemill.plans.q_clean import EPOCH, PMOD, PMOD2
 from curvemill.plans.registry import query
 from curvemill.plans.views import ctes, view
@@ -139,6 +139,19 @@ def feat_oot_variability(spark, sf):
     return features.oot_variability(x, cen).select("target", C.rd("log_oot_var_to_depth").alias("log_oot_var_to_depth"))
 
 
+@query("feat_oot_variability_trend", ctes("lc_user", "det_user") + """
+, m AS (SELECT target, median(flux) AS med FROM lc_user GROUP BY target),
+tr AS (SELECT target, depth, period, duration, flux + (t - 15) * 2 - med AS trend FROM lc_user JOIN m USING (target) JOIN det_user USING (target)),
+g AS (SELECT target, any_value(depth) AS depth, count(trend) AS n, (quantile_cont(trend, 9.8E-1) - quantile_cont(trend, 2.0E-2)) / CASE WHEN median(trend) = 0 THEN 1 ELSE abs(median(trend)) END AS amp FROM tr GROUP BY target)
+SELECT target, round(CASE WHEN n >= 50 AND amp > 0 THEN log10(least(greatest(amp / depth, 1.0E-4), 1.0E4)) ELSE 0 END, 6) AS log_oot_var_to_depth FROM g""")
+def feat_oot_variability_trend(spark, sf):
+    """Variability from a trend column, here the flux with a slope, less its median."""
+    x, _, cen = stats(spark, sf)
+    med = grouped_quantiles(x, ["target"], {"_med": ("flux", 0.5)}, cen)
+    x = attach(x, med, ["target"], cen).withColumn("trend", F.col("flux") + (F.col("t") - 15.0) * 2.0 - F.col("_med"))
+    return features.oot_variability(x, cen, "trend").select("target", C.rd("log_oot_var_to_depth").alias("log_oot_var_to_depth"))
+
+
 @query("feat_oot_skew", ctes("lc_user", "det_user", more=phased("lc_user", "det_user") + ", " + SKEW) + "SELECT target, round(coalesce(val, 0), 6) AS oot_skew FROM det_user LEFT JOIN skewed USING (target)")
 def feat_oot_skew(spark, sf):
     _, s, _ = stats(spark, sf)

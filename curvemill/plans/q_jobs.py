@@ -64,17 +64,28 @@ ATTEMPT = T.StructType([T.StructField("target", T.StringType()), T.StructField("
                         T.StructField("seed", T.LongType()), T.StructField("error", T.StringType())])
 
 
-@query("scan_shards_tolerant", ctes("attempts") + "SELECT target, count(*) AS n, sum(seed) AS seeds FROM attempts GROUP BY target")
-def scan_shards_tolerant(spark, sf):
-    """Good shards next to files that are no Parquet at all."""
+def _shards(spark, sf):
+    """Good shards next to files that are no Parquet at all: three of the latter."""
     path = scratch_path(spark, "shards")
     a = view(spark, sf, "attempts")
     a.write.parquet(f"{path}/good")
-    a.select(F.col("error").alias("value")).where(F.col("value").isNotNull()).write.text(f"{path}/broken")
-    got = readers.read_shards(spark, path, ATTEMPT)
+    a.select(F.col("error").alias("value")).where(F.col("value").isNotNull()).repartition(3).write.text(f"{path}/broken")
+    return path
+
+
+@query("scan_shards_tolerant", ctes("attempts") + "SELECT target, count(*) AS n, sum(seed) AS seeds FROM attempts GROUP BY target")
+def scan_shards_tolerant(spark, sf):
+    got = readers.read_shards(spark, _shards(spark, sf), ATTEMPT)
     return got.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.sum("seed").alias("seeds"))
 
 
+@query("scan_shards_counted", ctes("attempts") + "SELECT false AS broken, count(*) AS n_rows, NULL::BIGINT AS n_files FROM attempts UNION ALL SELECT true, 0, 3")
+def scan_shards_counted(spark, sf):
+    """Rows that were read, and files that were skipped."""
+    f = readers.shard_files(spark, _shards(spark, sf), ATTEMPT)
+    return f.groupBy("broken").agg(F.sum("n_rows").alias("n_rows"), F.when(F.col("broken"), F.count(F.lit(1))).alias("n_files"))
+
+
 # -- sinks ------------------------------------------------------------------------------------------------------
 
 @query("sink_append_shard", ctes("attempts") + "SELECT shard, count(*) AS n, count(error) AS errors FROM attempts GROUP BY shard")
@@ -92,7 +103,7 @@ def sink_replace_table(spark, sf):
     k = koi(spark, sf).select("target", "label", "mag", "row_id")
     writers.replace_table(k, path)
     writers.replace_table(cat.dedupe_brightest(k, "row_id"), path)
-    return spark.read.parquet(path).select("target", "label", "row_id")
+    return readers.read_table(spark, path).select("target", "label", "row_id")
 
 
 @query("sink_catalog_csv", ctes("det_user") + "SELECT target, round(period, 6) AS period, round(sde, 6) AS sde FROM det_user")
@@ -137,22 +148,41 @@ s3 AS (SELECT target, max(k) FILTER (parity = 1 AND n > 5) AS n_odd, max(k) FILT
 
 
 @query("result_document", ctes("lc_type", "det_type", more=_DOC) + """
+, o2 AS (SELECT target, parity, avg(flux) AS y FROM x WHERE abs(dt) < duration * 3.0E0 GROUP BY target, parity, floor((dt / (duration * 6.0E0) + 5.0E-1) * 40)),
+s4 AS (SELECT target, round(max(y) FILTER (parity = 1), 6) AS top_odd, round(max(y) FILTER (parity = 0), 6) AS top_even FROM o2 GROUP BY target)
 SELECT target, sde >= 7 AS detected, CASE WHEN sde >= 7 THEN round(d.period, 6) END AS period_days, CASE WHEN sde >= 7 THEN round(d.duration * 24, 6) END AS duration_hours,
  CASE WHEN sde < 7 THEN printf('no dip above the limit: SDE %.1f, needed 7.0', sde) END AS message,
  CASE WHEN sde >= 7 THEN n_raw END AS n_raw, CASE WHEN sde >= 7 THEN n_fold END AS n_fold, CASE WHEN sde >= 7 THEN n_fold_2p END AS n_fold_2p,
- CASE WHEN sde >= 7 THEN n_odd END AS n_odd, CASE WHEN sde >= 7 THEN n_even END AS n_even, CASE WHEN sde >= 7 THEN top END AS top
-FROM det_type d JOIN raw USING (target) JOIN s1 USING (target) JOIN s2 USING (target) JOIN s3 USING (target)""")
+ CASE WHEN sde >= 7 THEN n_odd END AS n_odd, CASE WHEN sde >= 7 THEN n_even END AS n_even, CASE WHEN sde >= 7 THEN top END AS top,
+ CASE WHEN sde >= 7 AND n_odd IS NOT NULL THEN top_odd END AS top_odd, CASE WHEN sde >= 7 AND n_even IS NOT NULL THEN top_even END AS top_even,
+ CASE WHEN sde >= 7 THEN 23 END AS n_features, CASE WHEN sde >= 7 THEN round(log10(d.period), 6) END AS log_period
+FROM det_type d JOIN raw USING (target) JOIN s1 USING (target) JOIN s2 USING (target) JOIN s3 USING (target) JOIN s4 USING (target)""")
 def result_document(spark, sf):
     """Documents written as JSON text and read back by path."""
-    docs = result_documents(view(spark, sf, "lc_type"), view(spark, sf, "det_type"))
+    lc, det = view(spark, sf, "lc_type"), view(spark, sf, "det_type")
+    cen = census(lc, KEY)
+    hit = det.where(F.col("sde") >= K.SDE_THRESHOLD)
+    hit = hit.join(search.peak_snr(lc, hit, cen).select("target", "snr"), "target").join(search.event_counts(lc, hit, cen), "target")
+    vectors = features.feature_vector(lc.join(hit.select("target"), "target", "left_semi"), hit, cen=cen)
+    docs = result_documents(lc, det.join(hit.select("target", "snr", "n_transits"), "target", "left"), cen=cen, vectors=vectors)
     pts = "array<struct<x: double, y: double>>"
-    schema = (f"target string, detected boolean, detection struct<period_days: double, duration_hours: double>, message string, "
+    schema = (f"target string, detected boolean, detection struct<period_days: double, duration_hours: double>, message string, features map<string, double>, "
               f"series struct<raw: {pts}, fold_binned: {pts}, fold_2p: {pts}, odd: {pts}, even: {pts}>")
     d = docs.select(F.from_json("doc", schema).alias("d")).select("d.*")
     size = {n: F.size(F.col(f"series.{c}")) for n, c in {"n_raw": "raw", "n_fold": "fold_binned", "n_fold_2p": "fold_2p", "n_odd": "odd", "n_even": "even"}.items()}
+    top = {n: F.array_max(F.col(f"series.{c}.y")) for n, c in {"top": "fold_binned", "top_odd": "odd", "top_even": "even"}.items()}
     return d.select("target", "detected", C.rd("detection.period_days").alias("period_days"), C.rd("detection.duration_hours").alias("duration_hours"), "message",
-                    *[F.when(v >= 0, v.cast("bigint")).alias(n) for n, v in size.items()],
-                    C.rd(F.array_max(F.col("series.fold_binned.y"))).alias("top"))
+                    *[F.when(v >= 0, v.cast("bigint")).alias(n) for n, v in size.items()], *[C.rd(v).alias(n) for n, v in top.items()],
+                    F.when(F.col("features").isNotNull(), F.size("features")).alias("n_features"), C.rd(F.col("features")["log_period"]).alias("log_period"))
+
+
+@query("catalogue_documents")
+def catalogue_documents(spark, sf):
+    """The whole run as documents: what each has, read back by path."""
+    from curvemill.plans.catalogue_run import catalogue_documents as documents
+    docs = documents(view(spark, sf, "lc_type"), cl.train(features23(spark, sf), NAMES), NAMES)
+    parts = ("detection", "classification", "fit", "features", "series", "sde_corrected", "caution_flag")
+    return docs.select("target", F.get_json_object("doc", "$.detected").alias("detected"), *[F.get_json_object("doc", f"$.{p}").isNotNull().alias(p) for p in parts])
 
 
 # -- user functions ------------------------------------------------------------------------------------------------

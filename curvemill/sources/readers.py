@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,9 +46,49 @@ def read_catalogue(spark: SparkSession, path: str, schema: T.StructType = CATALO
 
 
 def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All readable shards; files cut short by a killed writer are skipped, no files give no rows."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    """All readable shards; files cut short by a killed writer are skipped, no files give no rows. ``shard_files`` tells which were skipped."""
+    try:
+        return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return (spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path))
+
+
+def shard_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``(path, length, n_rows, broken)`` of every file below ``path``.
+
+    Row counts come from a read of no column, which touches footers alone. Files that gave no row are looked at again: whole ones begin and end with
+    Parquet's mark and hold the footer that they name.
+    """
+    if not _present(spark, path):
+        return spark.createDataFrame([], "path string, length bigint, n_rows bigint, broken boolean")
+    rows = read_shards(spark, path, schema).select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    # both name a file by its URI, with one slash or three after the scheme
+    name = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    listed = files.select("path", "length").join(rows.select(name(F.col("file")).alias("_key"), "n_rows"), name(F.col("path")) == F.col("_key"), "left")
+    good = listed.where("n_rows is not null").select("path", "length", "n_rows", F.lit(False).alias("broken"))
+    left = files.join(listed.where("n_rows is null").select("path"), "path", "left_semi")
+    mark = F.lit(b"PAR1")
+    # the footer's length, little-endian, in the four bytes before the last mark
+    footer = F.conv(F.concat(*[F.hex(F.expr(f"substring(content, CAST(length AS INT) - {k}, 1)")) for k in (4, 5, 6, 7)]), 16, 10).cast("bigint")
+    whole = (F.col("length") >= 12) & (F.expr("substring(content, 1, 4)") == mark) & (F.expr("substring(content, CAST(length AS INT) - 3, 4)") == mark) & (
+        footer <= F.col("length") - 12)
+    broken = ~F.coalesce(whole, F.lit(False))
+    return good.unionByName(left.select("path", "length", F.lit(0).cast("bigint").alias("n_rows"), broken.alias("broken")))
+
+
+def _present(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").isEmpty()
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that ``writers.replace_table`` wrote."""
+    last = spark.read.parquet(f"{path}/commits").orderBy(F.col("number").desc(), F.col("folder").desc()).first()
+    return spark.read.parquet(f"{path}/{last['folder']}")

@@ -191,3 +191,30 @@ def test_two_stage_draw_takes_bins_alike(spark):
     alike = cat.two_stage_draw(m.where("target = 'x'"), 7)
     assert [r["target"] for r in alike.collect()] == ["x"] * 7
     assert cat.two_stage_draw(m.where("false"), 7).count() == 0
+
+
+def test_replaced_table_is_swapped_at_once(spark):
+    path = scratch_path(spark, "table")
+    writers.replace_table(spark.createDataFrame([(1,)], "a int"), path)
+    old = readers.read_table(spark, path)
+    broken = spark.createDataFrame([(2,)], "a int").select(F.when(F.col("a") == 2, F.raise_error(F.lit("killed")).cast("int")).alias("a"))
+    with pytest.raises(Exception, match="killed"):
+        writers.replace_table(broken, path)
+    assert [r["a"] for r in readers.read_table(spark, path).collect()] == [1]
+    writers.replace_table(readers.read_table(spark, path).select((F.col("a") + 10).alias("a")), path)
+    assert [r["a"] for r in old.collect()] == [1] and [r["a"] for r in readers.read_table(spark, path).collect()] == [11]
+    for n in range(4):
+        writers.replace_table(spark.createDataFrame([(n,)], "a int"), path)
+    assert [r["a"] for r in readers.read_table(spark, path).collect()] == [3]
+
+
+def test_skipped_shards_are_counted(spark, tmp_path):
+    assert readers.shard_files(spark, str(tmp_path / "none"), ATTEMPT).count() == 0
+    path = str(tmp_path / "shards")
+    writers.append_shard(spark.createDataFrame([("a", 0, 1, 1, None)] * 3, ATTEMPT).coalesce(1), path)
+    writers.append_shard(spark.createDataFrame([], ATTEMPT).coalesce(1), path)
+    whole = next(p for p in (tmp_path / "shards").glob("*.parquet"))
+    (tmp_path / "shards" / "cut.parquet").write_bytes(whole.read_bytes()[:-9])
+    (tmp_path / "shards" / "tiny.parquet").write_bytes(b"PAR1")
+    got = sorted((r["n_rows"], r["broken"]) for r in readers.shard_files(spark, path, ATTEMPT).collect())
+    assert got == [(0, False), (0, True), (0, True), (3, False)]
