@@ -166,7 +166,7 @@ def prepare(lc: DataFrame, method: str = "biweight", window_days: float = K.DETR
             cen: Census | None = None) -> DataFrame:
     """Finite -> normalise -> clip -> detrend; keeps finite results. Adds ``trend``."""
     cen = census(lc, KEY) if cen is None else cen
-    x = clean.clip_outliers(clean.normalize(clean.finite_filter(lc), cen), cen=cen)
+    x = clean.normalize_and_clip(clean.finite_filter(lc), cen=cen)
     return detrend(x, method, window_days, cen=cen, bridge=False).where(C.is_finite("flux"))
 
 

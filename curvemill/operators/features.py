@@ -21,6 +21,7 @@ from curvemill.operators.binning import trend_amplitude
 from curvemill.operators.kernels import array_sums
 from curvemill.operators.nufft import Grid
 from curvemill.operators.skew import Census, attach, census, grouped_quantiles
+from curvemill.session import materialize
 
 KEY = ["target"]
 DEPTH_FLOOR = 1e-7
@@ -229,13 +230,15 @@ def feature_vector(lc: DataFrame, det: DataFrame, n_freq: int = K.LS_FREQ_COUNT,
     from curvemill.operators.fit import trapezoid_fit
 
     cen = census(lc, KEY) if cen is None else cen
-    det = det.withColumn("depth", F.greatest(F.col("depth"), F.lit(DEPTH_FLOOR)))
-    x = with_phase(lc, det.select("target", "period", "t0", "duration", "depth"), cen)
-    stats = sample_stats(x, cen)
+    det = materialize(det.withColumn("depth", F.greatest(F.col("depth"), F.lit(DEPTH_FLOOR))))
+    # written once: every part below reads the phased samples, none the source
+    x = materialize(with_phase(lc, det.select("target", "period", "t0", "duration", "depth"), cen))
+    own = x.select("target", "t", "flux")
+    stats = materialize(sample_stats(x, cen))
     parts = [
         stats, depth_consistency(x, stats, cen), oot_variability(x, cen, trend),
-        ls_power_ratio(lc.where(C.is_finite("t") & C.is_finite("flux")), det, n_freq, cen),
-        trapezoid_fit(lc, det, cen=cen).select("target", "trap_t23_t14", "trap_depth_ratio", "shape_resid_ratio"),
+        ls_power_ratio(own, det, n_freq, cen),
+        trapezoid_fit(own, det, cen=cen).select("target", "trap_t23_t14", "trap_depth_ratio", "shape_resid_ratio"),
     ]
     y = det
     for p in parts:
