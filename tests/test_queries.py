@@ -7,7 +7,7 @@ from check import compare, duck
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["scan_quality_masked", "median_normalize", "time_bin_error", "label_koi", "earliest_segment", "plan_take", "confusion_matrix",
-          "detrend_biweight", "box_search_large", "feat_secondary", "pull_stats"]
+          "detrend_biweight", "look_elsewhere_sde", "result_document", "two_stage_draw", "feat_secondary", "pull_stats"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
