@@ -198,6 +198,8 @@ def test_pipeline_stages(spark):
 
 
 def test_two_runs_of_the_pipeline_leave_each_other_alone(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")  # a stage called alone leaves it small
     first = corpus_pipeline.run(spark, SF)
     n = first.count()
     second = corpus_pipeline.run(spark, SF)
@@ -205,7 +207,7 @@ def test_two_runs_of_the_pipeline_leave_each_other_alone(spark):
     before = len(corpus_pipeline.flow.WRITTEN)
     corpus_pipeline.release(second)
     assert len(corpus_pipeline.flow.WRITTEN) < before and first.count() == n
-    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000
+    assert spark.conf.get(name) == "10000"
 
 
 def test_line_stage_on_a_text_of_many_lines(spark):
