@@ -17,5 +17,5 @@ def test_query_matches_sql(spark, name):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(registered.ORACLES) <= set(entry.oracle_sql())
