@@ -2,9 +2,10 @@
 
 Rows are dealt to time cells a few windows wide, with a half-window margin copied from the neighbours,
 and shuffled by (target, cell), so a long or dense curve spreads over many tasks. Inside a task Spark's
-sorted rows stream through NumPy in Arrow batches; what a task holds is one batch and one window, never a
+sorted rows stream through NumPy in Arrow batches; what a task holds is a batch and a few windows, never a
 whole cell or curve. Sliding medians of a few hundred samples per row are an order of magnitude slower as
-array functions in the JVM, which is why this step leaves it.
+array functions in the JVM, which is why this step leaves it. Windows of DENSE samples and more are taken
+together (`windows`), at a cost that grows with the samples; smaller ones are rows of a matrix.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from curvemill import constants as K
 from curvemill.functions import columns as C
-from curvemill.operators import clean
+from curvemill.operators import clean, windows
 from curvemill.operators.cells import interpolate
 from curvemill.operators.skew import Census, census, task_count
 
@@ -28,6 +29,8 @@ KEY = ["target"]
 METHODS = ("biweight", "lowess", "median")
 # values of one window matrix held at a time
 BLOCK = 2_000_000
+# samples from which on a window is dense
+DENSE = 256
 
 
 # -- estimates over a matrix of windows: one row per window, NaN where there is no sample ---------------------
@@ -72,29 +75,58 @@ def lowess_rows(x, d, half):
 ESTIMATES = {"median": median_rows, "biweight": biweight_rows, "lowess": lowess_rows}
 
 
-def trend_of(t, x, first, last, half, estimate):
-    """Trend at positions ``first..last`` of one time-sorted run of samples."""
-    at = t[first:last]
+DENSE_ESTIMATES = {median_rows: windows.median_dense, biweight_rows: windows.biweight_dense, lowess_rows: windows.lowess_dense}
+
+
+def trend_of(t, x, first, last, half, estimate, wanted=None):
+    """Trend at the ``wanted`` positions of ``first..last`` of one time-sorted run of samples; NaN at the others."""
+    out = np.full(last - first, np.nan)
+    todo = np.arange(last - first) if wanted is None else np.flatnonzero(wanted)
+    if not len(todo):
+        return out
+    # equal times have equal windows
+    at, back = np.unique(t[first:last][todo], return_inverse=True)
+    ok = np.isfinite(x)
+    t, x = t[ok], x[ok]
     lo, hi = np.searchsorted(t, at - half, "left"), np.searchsorted(t, at + half, "right")
-    out = np.empty(len(at))
+    got = np.full(len(at), np.nan)
+    dense = np.flatnonzero(hi - lo >= DENSE) if estimate in DENSE_ESTIMATES else []
+    if len(dense):
+        got[dense] = DENSE_ESTIMATES[estimate](t, x, at[dense], lo[dense], hi[dense], half)
+    # also what the sums of dense windows leave open
+    rest = np.flatnonzero(np.isnan(got) & (hi > lo))
     i = 0
-    while i < len(at):
+    while i < len(rest):
         # as many windows as fit into one block
-        width = int((hi[i:] - lo[i:]).max())
-        k = max(1, BLOCK // max(width, 1))
-        a, b = lo[i:i + k], hi[i:i + k]
-        width = int((b - a).max())
-        pos = a[:, None] + np.arange(width)
+        width = int((hi[rest[i:]] - lo[rest[i:]]).max())
+        some = rest[i:i + max(1, BLOCK // width)]
+        a, b = lo[some], hi[some]
+        pos = a[:, None] + np.arange(int((b - a).max()))
         inside = pos < b[:, None]
         pos = np.minimum(pos, len(t) - 1)
-        out[i:i + k] = estimate(np.where(inside, x[pos], np.nan), t[pos] - at[i:i + k, None], half)
-        i += k
+        got[some] = estimate(np.where(inside, x[pos], np.nan), t[pos] - at[some, None], half)
+        i += len(some)
+    out[todo] = got[back]
     return out
 
 
+def enlarged(batches, least):
+    """Batches put together until they have ``least()`` rows, so that what is held from one to the next is not gone through too often."""
+    parts, n = [], 0
+    for pdf in batches:
+        parts.append(pdf)
+        n += len(pdf)
+        if n >= least():
+            yield pd.concat(parts, ignore_index=True) if len(parts) > 1 else pdf
+            parts, n = [], 0
+    if parts:
+        yield pd.concat(parts, ignore_index=True)
+
+
 def stream_trend(batches, half, estimate):
     """Add ``_trend`` to batches sorted by (target, _cell, t). A row waits until its window is complete; rows
-    are let go once no waiting window reaches back to them."""
+    are let go once no waiting window reaches back to them. Rows copied from the neighbour (``_own`` is another cell)
+    get none."""
     held, waiting = None, 0
 
     def runs(pdf):
@@ -106,13 +138,14 @@ def stream_trend(batches, half, estimate):
         """Rows ``start..upto`` with their trend, runs taken one at a time."""
         edges = runs(pdf)
         t, x, out = pdf["t"].to_numpy(), pdf["_x"].to_numpy(dtype=float), np.full(len(pdf), np.nan)
+        own = (pdf["_own"] == pdf["_cell"]).to_numpy() if "_own" in pdf else np.ones(len(pdf), bool)
         for s, e in zip(edges[:-1], edges[1:]):
             f, z = max(s, start), min(e, upto)
             if f < z:
-                out[f:z] = trend_of(t[s:e], x[s:e], f - s, z - s, half, estimate)
+                out[f:z] = trend_of(t[s:e], x[s:e], f - s, z - s, half, estimate, own[f:z])
         return pdf.iloc[start:upto].assign(_trend=out[start:upto])
 
-    for pdf in batches:
+    for pdf in enlarged(batches, lambda: 0 if held is None else len(held)):
         held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         s = runs(held)[-2]
         t = held["t"].to_numpy()

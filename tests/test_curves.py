@@ -225,3 +225,30 @@ def test_periodogram_power_of_sliced_and_whole_curves(spark, monkeypatch):
     assert set(whole) == set(range(400)) and all(whole[k] == pytest.approx(cut[k], rel=1e-8, abs=1e-10) for k in whole)
     y = np.array([whole[k] for k in range(400)])
     assert abs(0.05 + y.argmax() * 4.95 / 399 - 0.7) < 0.02 and 0.5 < y.max() <= 1
+
+
+@pytest.mark.parametrize("kind", ["plain", "narrow", "ties", "missing"])
+def test_dense_windows_match_the_matrix_of_windows(kind, monkeypatch):
+    """Windows of hundreds of samples: the form whose cost does not grow with the window gives what the matrix form gives."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    t = np.sort(rng.uniform(0, 2.5, n))
+    x = 1 + 3 * np.sin(3 * t) + rng.normal(0, 1e-4, n) if kind == "narrow" else rng.exponential(50.0, n)
+    if kind == "ties":
+        t, x = np.round(t, 2), np.round(x)
+    if kind == "missing":
+        x[rng.random(n) < 0.3] = np.nan
+    for estimate, off in ((detrend.median_rows, 0.0), (detrend.biweight_rows, 1e-11), (detrend.lowess_rows, 1e-11)):
+        got = detrend.trend_of(t, x, 0, n, 0.25, estimate)
+        with monkeypatch.context() as m:
+            m.setattr(detrend, "DENSE", n + 1)
+            want = detrend.trend_of(t, x, 0, n, 0.25, estimate)
+        assert np.isfinite(want).all() and np.allclose(got, want, rtol=off, atol=0.0)
+
+
+def test_dense_windows_are_no_rows_of_a_matrix(monkeypatch):
+    t = np.linspace(0, 1, 5000)
+    x = np.random.default_rng(2).normal(0, 1, 5000)
+    monkeypatch.setattr(detrend, "BLOCK", None)  # what the matrix form divides by the window
+    for estimate in detrend.ESTIMATES.values():
+        assert np.isfinite(detrend.trend_of(t, x, 0, 5000, 0.25, estimate)).all()
