@@ -90,6 +90,8 @@ def trapezoid_fit(lc: DataFrame, det: DataFrame, minimum: int = 20, cen: Census
 
 N_PARAMS = 5
 MAX_DEPTH = 0.36
+# chi-squares are compared in steps of this share of the target's plain sum: their own rounding grows with the samples
+CHI2_STEPS = 1e10
 # steps per axis: t0, period, T14, T23/T14
 AXES = {"t": 9, "p": 9, "w": 5, "r": 3}
 
@@ -126,7 +128,8 @@ def _round(x: DataFrame, centre: DataFrame, cen: Census) -> DataFrame:
 
 def _best(g: DataFrame) -> DataFrame:
     cols = ["j", "chi2", "depth", "n", *[f"v_{n}" for n in AXES], *[f"h_{n}" for n in AXES]]
-    b = g.groupBy("target").agg(F.min_by(F.struct(*cols), F.struct(F.floor(F.col("chi2") * SSE_STEP + 0.5), F.col("j"))).alias("_b"))
+    step = F.floor(F.coalesce(F.col("chi2") / F.when(F.col("c") > 0, F.col("c")), F.lit(0.0)) * CHI2_STEPS + 0.5)
+    b = g.groupBy("target").agg(F.min_by(F.struct(*cols), F.struct(step, F.col("j"))).alias("_b"))
     return b.select("target", "_b.*")
 
 

@@ -245,7 +245,7 @@ def dip_sql() -> str:
 {out}_a AS (SELECT target, j, v_t, v_p, v_w, v_r, h_t, h_p, h_w, h_r, sum(w * s * m) AS a, sum(w * s * s) AS b, sum(w * m * m) AS c, count(*) AS n FROM {out}_s GROUP BY ALL),
 {out}_d AS (SELECT *, CASE WHEN b > 0 THEN greatest(0, least(3.6E-1, a / b)) ELSE 0 END AS depth FROM {out}_a),
 {out} AS (SELECT *, c - 2 * depth * a + depth * depth * b AS chi2 FROM {out}_d),
-{out}_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY floor(chi2 * 1.0E6 + 5.0E-1), j) AS rn FROM {out}) WHERE rn = 1)"""
+{out}_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY floor(CASE WHEN c > 0 THEN chi2 / c ELSE 0 END * 1.0E10 + 5.0E-1), j) AS rn FROM {out}) WHERE rn = 1)"""
     return f"""wa AS (SELECT l.target, t, flux, flux_err, abs({PMOD} - period * 5.0E-1) < duration * 4 / 2 AS near FROM nrm l JOIN df USING (target)),
 wh AS (SELECT target, count(*) FILTER (near) AS hits FROM wa GROUP BY target),
 win AS (SELECT target, t, flux, 1 / (flux_err * flux_err) AS w FROM wa JOIN wh USING (target) WHERE near OR hits < 30),

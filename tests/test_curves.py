@@ -252,3 +252,10 @@ def test_dense_windows_are_no_rows_of_a_matrix(monkeypatch):
     monkeypatch.setattr(detrend, "BLOCK", None)  # what the matrix form divides by the window
     for estimate in detrend.ESTIMATES.values():
         assert np.isfinite(detrend.trend_of(t, x, 0, 5000, 0.25, estimate)).all()
+
+
+def test_dip_fit_ties_are_kept_beyond_rounding(spark):
+    """Grid points without a dip have one chi-square; what sums of many samples add by rounding must not choose among them."""
+    g = spark.createDataFrame([("s", j, 8e7 + off, 8e7) for j, off in ((3, 2e-6), (7, 0.0), (9, 4e-6))], "target string, j long, chi2 double, c double")
+    g = g.withColumns({n: F.lit(0.0) for n in ("depth", "n", *[f"{a}_{k}" for a in "vh" for k in fit.AXES])})
+    assert fit._best(g).first()["j"] == 3
