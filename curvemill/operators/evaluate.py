@@ -86,7 +86,8 @@ def recovery_bias(df: DataFrame, parameters: list[str]) -> DataFrame:
     long = long.where(F.col("resid").isNotNull())
     key = ["parameter"]
     med = grouped_quantiles(long, key, {"bias": ("resid", 0.5), "bias_percent": ("percent", 0.5)})
-    dev = long.join(med.select("parameter", "bias"), key).withColumn("_d", F.abs(F.col("resid") - F.col("bias")))  # one row per parameter
+    # one row per parameter; a join by shuffle would put a parameter into one task
+    dev = long.join(F.broadcast(med.select("parameter", "bias")), key).withColumn("_d", F.abs(F.col("resid") - F.col("bias")))
     mad = grouped_quantiles(dev, key, {"_m": ("_d", 0.5)})
     return med.join(mad, key).select("parameter", "bias", "bias_percent", (F.col("_m") * K.MAD_TO_SIGMA).alias("scatter"))
 

@@ -218,3 +218,19 @@ def test_skipped_shards_are_counted(spark, tmp_path):
     (tmp_path / "shards" / "tiny.parquet").write_bytes(b"PAR1")
     got = sorted((r["n_rows"], r["broken"]) for r in readers.shard_files(spark, path, ATTEMPT).collect())
     assert got == [(0, False), (0, True), (0, True), (3, False)]
+
+
+def _without_broadcast(spark, make):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString(), make()._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_recovery_bias_shuffles_no_rows_by_parameter(spark):
+    from curvemill.operators import evaluate
+    from curvemill.plans.views import view
+    plan, _ = _without_broadcast(spark, lambda: evaluate.recovery_bias(view(spark, "/root/testdata/sf0.001", "recovery"), ["depth", "period"]))
+    assert plan.count("SortMergeJoin") <= 1  # of two tables of one row a parameter
