@@ -383,5 +383,6 @@ def union_catalogs(spark, sf):
 
 @query("class_except", ctes("koi", "attempts", more=LABELLED) + f"SELECT label FROM (SELECT label FROM labelled EXCEPT SELECT label FROM (SELECT {CLASS_OF} AS label, target FROM attempts) WHERE label = 'variable')")
 def class_except(spark, sf):
-    drop = attempts(spark, sf).where(F.col("label") == "variable").select("label")
-    return koi(spark, sf).select("label").subtract(drop)
+    # a few labels on either side: without the copies nothing but labels is joined
+    drop = attempts(spark, sf).where(F.col("label") == "variable").select("label").distinct()
+    return koi(spark, sf).select("label").distinct().subtract(drop)

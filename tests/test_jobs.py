@@ -234,3 +234,10 @@ def test_recovery_bias_shuffles_no_rows_by_parameter(spark):
     from curvemill.plans.views import view
     plan, _ = _without_broadcast(spark, lambda: evaluate.recovery_bias(view(spark, "/root/testdata/sf0.001", "recovery"), ["depth", "period"]))
     assert plan.count("SortMergeJoin") <= 1  # of two tables of one row a parameter
+
+
+def test_class_except_joins_distinct_labels(spark):
+    import __spark_entry__ as entry
+    _, plan = _without_broadcast(spark, lambda: entry.queries()["class_except"](spark, "/root/testdata/sf0.001"))
+    below = plan[plan.index("LeftAnti"):]
+    assert below.count("Aggregate [label") == 2
