@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+import pandas as pd
+from pyarrow.fs import FileSystem
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,8 +63,8 @@ def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 def shard_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """``(path, length, n_rows, broken)`` of every file below ``path``.
 
-    Row counts come from a read of no column, which touches footers alone. Files that gave no row are looked at again: whole ones begin and end with
-    Parquet's mark and hold the footer that they name.
+    Row counts come from a read of no column, which touches footers alone. Of files that gave no row the ends are looked at, never the whole: whole ones begin and
+    end with Parquet's mark and hold the footer that they name. The ends are read through ``pyarrow.fs``.
     """
     if not _present(spark, path):
         return spark.createDataFrame([], "path string, length bigint, n_rows bigint, broken boolean")
@@ -68,15 +73,29 @@ def shard_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     # both name a file by its URI, with one slash or three after the scheme
     name = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
     listed = files.select("path", "length").join(rows.select(name(F.col("file")).alias("_key"), "n_rows"), name(F.col("path")) == F.col("_key"), "left")
-    good = listed.where("n_rows is not null").select("path", "length", "n_rows", F.lit(False).alias("broken"))
-    left = files.join(listed.where("n_rows is null").select("path"), "path", "left_semi")
+    ends = listed.select("path", "length", "n_rows").repartition("path").mapInPandas(_ends, "path string, length bigint, n_rows bigint, head binary, tail binary")
     mark = F.lit(b"PAR1")
     # the footer's length, little-endian, in the four bytes before the last mark
-    footer = F.conv(F.concat(*[F.hex(F.expr(f"substring(content, CAST(length AS INT) - {k}, 1)")) for k in (4, 5, 6, 7)]), 16, 10).cast("bigint")
-    whole = (F.col("length") >= 12) & (F.expr("substring(content, 1, 4)") == mark) & (F.expr("substring(content, CAST(length AS INT) - 3, 4)") == mark) & (
-        footer <= F.col("length") - 12)
-    broken = ~F.coalesce(whole, F.lit(False))
-    return good.unionByName(left.select("path", "length", F.lit(0).cast("bigint").alias("n_rows"), broken.alias("broken")))
+    footer = F.conv(F.concat(*[F.hex(F.expr(f"substring(tail, {k}, 1)")) for k in (4, 3, 2, 1)]), 16, 10).cast("bigint")
+    whole = (F.col("length") >= 12) & (F.col("head") == mark) & (F.expr("substring(tail, 5, 4)") == mark) & (footer <= F.col("length") - 12)
+    broken = F.col("n_rows").isNull() & ~F.coalesce(whole, F.lit(False))
+    return ends.select("path", "length", F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_rows"), broken.alias("broken"))
+
+
+def _ends(batches):
+    """Add the first four and the last eight bytes of files that gave no row, all that is read of them."""
+    for pdf in batches:
+        head, tail = [], []
+        for path, length, n in zip(pdf["path"], pdf["length"], pdf["n_rows"]):
+            if n == n and n is not None or length < 12:
+                head.append(None)
+                tail.append(None)
+                continue
+            system, inside = FileSystem.from_uri(path)
+            with system.open_input_file(inside) as f:
+                head.append(f.read_at(4, 0))
+                tail.append(f.read_at(8, length - 8))
+        yield pdf.assign(n_rows=pdf["n_rows"].astype("Int64"), head=pd.Series(head, dtype=object, index=pdf.index), tail=pd.Series(tail, dtype=object, index=pdf.index))
 
 
 def _present(spark: SparkSession, path: str) -> bool:
@@ -92,3 +111,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The current version of a table that ``writers.replace_table`` wrote."""
     last = spark.read.parquet(f"{path}/commits").orderBy(F.col("number").desc(), F.col("folder").desc()).first()
     return spark.read.parquet(f"{path}/{last['folder']}")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -220,6 +220,19 @@ def test_skipped_shards_are_counted(spark, tmp_path):
     assert got == [(0, False), (0, True), (0, True), (3, False)]
 
 
+def test_unreadable_shards_are_not_read_whole(spark, tmp_path):
+    """A shard cut short may be of any size; its ends tell that it is broken."""
+    path = str(tmp_path / "shards")
+    spark.range(3).selectExpr("'a' AS target", "id AS label_idx", "1 AS shard", "id AS seed", "'' AS error").coalesce(1).write.parquet(path)
+    (tmp_path / "shards" / "cut.parquet").write_bytes(b"PAR1" + b"x" * 50_000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 10_000)
+    try:
+        got = sorted((r["n_rows"], r["broken"]) for r in readers.shard_files(spark, path, ATTEMPT).where("path like '%.parquet'").collect())
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == [(0, True), (3, False)]
+
+
 def _without_broadcast(spark, make):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
