@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState
 
 from curvemill.functions import columns as C
 from curvemill.operators.skew import first_per_key
@@ -63,44 +59,22 @@ def merge_settled(df: DataFrame) -> DataFrame:
     return first_per_key(df, ["target"], order)
 
 
-def _keep_best(columns: list[str]):
-    """The best attempt of a target so far is its state; rows of a settled one are ignored. Returns a row when the best one changes."""
-    order = ["_failed", "_open", "seed", "shard", "label_idx"]
-
-    def rank(row: tuple) -> tuple:
-        # nulls first, as in Spark's order
-        return tuple((v is not None, v) if v is not None else (False, 0) for v in (row[(columns + order[:2]).index(c)] for c in order))
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = before = state.get if state.exists else None
-        if best is not None and not best[len(columns) + 1]:
-            return
-        for f in frames:
-            for row in f[columns + order[:2]].astype(object).where(f.notna(), None).itertuples(index=False, name=None):
-                if best is None or rank(row) < rank(best):
-                    best = row
-        if best is not None and best is not before:
-            state.update(best)
-            yield pd.DataFrame([best[: len(columns)]], columns=columns)
-
-    return run
-
-
 def settled_store(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str):
     """Add new attempts to an append-only store, skipping targets settled earlier. Read the store through
     ``merge_settled``.
 
-    What is known of a target is the state of the stream, one row, so a batch reads nothing of the store. For more targets than executors hold in memory, choose RocksDB as the
-    session's state store.
+    What is known of a target is the state of the stream, one row, so a batch reads nothing of the store. It is the smallest row, in Spark's own
+    aggregate: settled attempts come first, by the time of their micro-batch, so none of a later batch takes their place; the time also tells whether a row is new.
+    A batch that is run again has the same time. For more targets than executors hold in memory, choose RocksDB as the session's state store.
     """
-    rows = spark.readStream.schema(schema).parquet(source).withColumns({"_failed": F.col("error").isNotNull(), "_open": ~C.settled()})
-    state = T.StructType([*schema.fields, T.StructField("_failed", T.BooleanType()), T.StructField("_open", T.BooleanType())])
-    best = rows.groupBy("target").applyInPandasWithState(_keep_best(schema.names), schema, state, "update", "NoTimeout")
+    rows = spark.readStream.schema(schema).parquet(source).withColumn("_seen", F.current_timestamp())
+    open_ = ~C.settled()
+    order = F.struct(open_.alias("o"), F.when(~open_, F.col("_seen")).alias("s"), F.col("error").isNotNull().alias("f"), "seed", "shard", "label_idx",
+                     F.col("_seen").alias("since"), *[F.col(c).alias(f"_{c}") for c in schema.names])
+    best = rows.groupBy("target").agg(F.min(order).alias("_b"), F.max("_seen").alias("_last"))
+    best = best.where(F.col("_b.since") == F.col("_last")).select(*[F.col(f"_b._{c}").alias(c) for c in schema.names])
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return best.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -254,3 +254,12 @@ def test_class_except_joins_distinct_labels(spark):
     _, plan = _without_broadcast(spark, lambda: entry.queries()["class_except"](spark, "/root/testdata/sf0.001"))
     below = plan[plan.index("LeftAnti"):]
     assert below.count("Aggregate [label") == 2
+
+
+def test_settled_attempts_are_kept_by_sparks_own_aggregate(spark):
+    """No Python call for each target: its cost was most of a run with a million targets."""
+    src, out, ckpt = (scratch_path(spark, n) for n in ("in", "out", "ck"))
+    writers.append_shard(spark.createDataFrame([("a", 0, 1, 1, None)], ATTEMPT), src)
+    q = inc.settled_store(spark, src, ATTEMPT, out, ckpt)
+    q.awaitTermination()
+    assert [o["operatorName"] for o in q.lastProgress["stateOperators"]] == ["stateStoreSave"]
