@@ -68,3 +68,36 @@ def test_items_grow_with_work_and_fall_with_targets(spark):
     lc = view(spark, SF, "lc_type")
     few, many = (search.work_items(lc, census(lc, ["target"])._replace(n_groups=n), None, 10.0, K.DURATIONS, 0.2, None, 0.5, 13.0).count() for n in (5, 10**6))
     assert many == 5 and few > 50
+
+
+def test_tasks_follow_the_samples_of_sparse_curves(spark, monkeypatch):
+    monkeypatch.setattr(search, "ITEM_WORK", 1_000_000)
+    lc = spark.range(40 * 60).selectExpr("concat('U', id % 40) as target", "(id div 40) * 0.5D as t", "1.0D as flux", "1.0D as flux_err")
+    # 40 curves of 60 samples in 30 days: 2.9 million points and phase bins each, 22 million if a sample stood in every ten minutes
+    items = search.work_items(lc, census(lc, ["target"]), None, 10.0, [0.25, 0.5, 1.0], 0.2, None, 2.0, 13.0)
+    assert items.rdd.getNumPartitions() < 40 * 10
+
+
+@pytest.mark.parametrize("sizes", [[10, 20, 40], [10, 17, 27, 40, 60, 83], [10, 560, 10, 100], [1, 2], [3]])
+def test_boxes_add_up(sizes):
+    v = np.random.default_rng(0).integers(0, 9, 2000)
+    scan, have, cum = boxscan.EvenScan(np.arange(3.0), np.arange(3.0), np.ones(3), [1.0]), {1: v}, np.concatenate(([0], np.cumsum(v)))
+    for k, parts in boxscan.box_steps(sizes):
+        scan._boxes(have, k, parts)
+    for k in sizes:
+        assert (have[k][: 2000 - k] == cum[k:-1] - cum[: 2000 - k]).all()
+
+
+def test_sparse_curves_of_one_weight_take_their_own_scan(monkeypatch):
+    rng, used = np.random.default_rng(4), []
+    monkeypatch.setattr(boxscan.EvenScan, "block", lambda self, f, nb, detail, out, own=boxscan.EvenScan.block: (used.append(len(f)), own(self, f, nb, detail, out))[1])
+    t = np.sort(rng.random(67)) * 30
+    t -= t[0]
+    f = 0.5 - np.arange(700) * 6e-4
+    for y in (50 + rng.normal(0, 20, 67), np.round(rng.normal(50, 2, 67)), np.ones(67)):
+        for durations in ([0.25, 0.5, 1.0], [0.5, 0.25, 0.5, 2.5]):  # in any order, repeated, longer than a period
+            a, b = boxscan.scan_frequencies(t, y, np.full(67, 1.3), f, durations), boxscan.scan_chunk(t, y, np.full(67, 1.3), 1 / f, durations)
+            ok = np.isfinite(b[:, 0]) & (b[:, 0] > 1e-9)  # a flat curve's dips are rounding
+            assert np.isfinite(a[ok, 0]).all() and (a[ok, 1:3] == b[ok, 1:3]).all()
+            assert np.allclose(a[ok, 0], b[ok, 0], rtol=1e-9, atol=2e-6) and np.allclose(a[ok, 3], b[ok, 3], rtol=1e-7)
+    assert sum(used) == 6 * 700
