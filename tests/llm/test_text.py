@@ -4,10 +4,12 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from curvemill.llm import backoff_lm, blocks, containment, fuzzy_lines, jaccard_join, mixing
+from curvemill.llm import backoff_lm, blocks, containment, fuzzy_lines, jaccard_join, line_sets, mixing
 from curvemill.llm import textkit as tk
 from tests.llm import plain
 
@@ -261,3 +263,27 @@ def test_empty_tables(spark, docs):
     assert jaccard_join.similar_documents(none).count() == 0
     assert fuzzy_lines.line_components(none).count() == 0
     assert fuzzy_lines.drop_repeated(none).count() == 0
+
+
+def test_equal_lines_of_a_piece_are_signed_once(monkeypatch):
+    texts = ["Some line that stands in many texts\nand one of its own %d\n" % (i % 50) for i in range(200)] + ["日本語の行 😀 𠀀 abc\n\n  日本語の行 😀 𠀀 ABC ", None, ""]
+    signed = []
+    monkeypatch.setattr(tk, "signatures", lambda s, n, size, own=tk.signatures: (signed.append(len(n)), own(s, n, size))[1])
+    got = list(fuzzy_lines._band_keys(3)(iter([pd.DataFrame({"text": texts})])))
+    assert sum(signed) == 52 and sum(len(x) for f in got for x in f["lines"]) == 52 * fuzzy_lines.BANDS * 8
+    every, once = next(line_sets.lines(texts))[1], next(line_sets.lines(texts, distinct=True))[1]
+    _, first = np.unique(every["h1"], return_index=True)
+    first.sort()
+    assert (every["h1"][first] == once["h1"]).all() and (every["n"][first] == once["n"]).all()
+    parts = np.split(every["shingles"], np.cumsum(every["n"])[:-1])
+    assert (np.concatenate([parts[i] for i in first]) == once["shingles"]).all()
+
+
+def test_signatures_do_not_depend_on_the_work_space(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = np.array([5, 0, 1, 300, 2, 40, 7])
+    s = rng.integers(0, 2**64, n.sum(), dtype=np.uint64)
+    want = tk.signatures(s, n, 8)
+    for room in (1, 6, 50, 301):
+        monkeypatch.setattr(tk, "SIGNED", room)
+        assert (tk.signatures(s, n, 8) == want).all()
