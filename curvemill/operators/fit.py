@@ -108,7 +108,7 @@ def _round(x: DataFrame, centre: DataFrame, cen: Census) -> DataFrame:
         t, w, drop = p["t"].to_numpy()[:, None], p["_w"].to_numpy(), 1.0 - p["flux"].to_numpy()
         dt = t - v["t"]
         dt -= np.rint(dt / v["p"]) * v["p"]
-        half = np.maximum(v["w"], 1e-6) / 2.0
+        half = v["w"] / 2.0  # no floor: a template without width holds no sample but one at its very middle
         s = shape(dt, half, half * np.clip(v["r"], 0, 1))
         return (w * drop) @ s, w @ (s * s), (w * drop * drop).sum() * np.ones(len(half))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curvemill.functions import columns as C
 from curvemill.functions.look_elsewhere import corrected, look_elsewhere_sde
-from curvemill.operators import binning, catalogue, clean, detrend, features, fit, search
+from curvemill.operators import binning, catalogue, clean, detrend, features, fit, search, skew
 
 
 def curve(spark, t, flux, target="s", err=None):
@@ -259,3 +259,12 @@ def test_dip_fit_ties_are_kept_beyond_rounding(spark):
     g = spark.createDataFrame([("s", j, 8e7 + off, 8e7) for j, off in ((3, 2e-6), (7, 0.0), (9, 4e-6))], "target string, j long, chi2 double, c double")
     g = g.withColumns({n: F.lit(0.0) for n in ("depth", "n", *[f"{a}_{k}" for a in "vh" for k in fit.AXES])})
     assert fit._best(g).first()["j"] == 3
+
+
+def test_dip_fit_has_no_least_width(spark):
+    """A template of width 0 or less fits no sample, however near the middle of an event it lies."""
+    lc = spark.createDataFrame([("s", 1.0 + 1e-7, 0.5, 1.0), ("s", 1.3, 1.0, 1.0)], "target string, t double, flux double, _w double")
+    centre = {"c_t": 1.0, "c_p": 2.0, "c_w": 0.0, "c_r": 0.5, "h_t": 0.0, "h_p": 0.0, "h_w": 0.1, "h_r": 0.5}
+    g = fit._round(lc, spark.createDataFrame([{"target": "s", **centre}]), skew.census(lc, ["target"])).toPandas()
+    assert set(g.loc[g["v_w"] <= 0, "depth"]) == {0.0} and set(g.loc[g["v_w"] <= 0, "chi2"]) == {0.25}
+    assert (g.loc[g["v_w"] > 0, "chi2"] < 0.25).all()
