@@ -132,6 +132,24 @@ def test_line_dedup(spark, docs):
     assert Counter(r["first"]["d"] for r in out) == firsts
 
 
+def test_lines_that_share_keys_by_chance_are_no_group(spark, monkeypatch):
+    """Lines of two chunks out of 30: similarity 0.3 at most, and a band key in common for one pair of seven of those, which ties all lines to each other."""
+    rng = random.Random(4)
+    chunks = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(30)]
+    rows = [(k, chunks[i] + chunks[j]) for k, (i, j) in enumerate((i, j) for i in range(30) for j in range(i))]
+    sizes = []
+
+    def deal(members, keys, size, own=blocks.deal):
+        if keys == ["component"]:
+            sizes.extend(r["count"] for r in members.groupBy("component").count().collect())
+        return own(members, keys, size)
+
+    monkeypatch.setattr(blocks, "deal", deal)
+    out = fuzzy_lines.line_components(spark.createDataFrame([*rows, (1000, rows[0][1] + "x")], "doc_id long, text string")).collect()
+    assert sum(sizes) < 20 and 2 in sizes
+    assert sorted(r["d"] for r in out if r["copies"] == 2) == [0, 1000] and {r["copies"] for r in out} == {1, 2}
+
+
 def test_drop_repeated_lines(spark, docs):
     out = fuzzy_lines.drop_repeated(docs)
     assert out.columns == docs.columns
