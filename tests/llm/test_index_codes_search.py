@@ -22,6 +22,14 @@ def keys(n, start=0):
     return np.array([hashlib.sha256(str(i).encode()).digest() for i in range(start, start + n)], "S32")
 
 
+def test_cuckoo_filter_leaves_what_cannot_fit():
+    """More digests than free slots are not moved around; the filter that holds them is as large as ever."""
+    f = ci.CuckooFilter(4)
+    assert not f.insert(keys(65)) and not f.slots.any()
+    assert f.insert(keys(40)) and not f.insert(keys(65)[40:]) and np.count_nonzero(f.slots) == 40
+    assert len(ci.CuckooFilter.filled(keys(5000), 4).slots) == 2048
+
+
 def test_filter_inserts_deletes_and_grows():
     f = ci.CuckooFilter(4)  # 64 slots
     assert not f.insert(keys(200))
