@@ -22,6 +22,13 @@ def keys(n, start=0):
     return np.array([hashlib.sha256(str(i).encode()).digest() for i in range(start, start + n)], "S32")
 
 
+def test_digests_lower_only_a_to_z(spark):
+    texts = ["ABC xyz [@`{", "ÄBC İI \u212a \u0130", "Straße ÉÀ Z", "", None, "日本 ABC"]
+    rows = ci.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    low = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode() for t in texts]
+    assert {r["doc_id"]: (bytes(r["digest"]), r["bytes"]) for r in rows} == {i: (hashlib.sha256(t).digest(), len(t)) for i, t in enumerate(low)}
+
+
 def test_cuckoo_filter_leaves_what_cannot_fit():
     """More digests than free slots are not moved around; the filter that holds them is as large as ever."""
     f = ci.CuckooFilter(4)
